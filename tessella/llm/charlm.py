@@ -17,6 +17,8 @@ BITS = 20
 CELLS = 1 << BITS
 #: Share of all trigrams at which a trigram is neither plausible nor implausible.
 EVEN = 1e-6
+#: A smaller corpus counts as one of so many trigrams, so that what occurs once or twice in it isn't plausible for that.
+LEAST = 5_000_000
 
 
 def code_points(text: str) -> np.ndarray:
@@ -65,7 +67,7 @@ def corpus_counts(df: DataFrame, text_col: str) -> np.ndarray:
 
 def log_scores(counts: np.ndarray) -> np.ndarray:
     """Per cell, the log of the trigram's share against ``EVEN``; float32."""
-    total = max(int(counts.sum()), 1)
+    total = max(int(counts.sum()), LEAST)
     return np.log((counts + 0.05) / total / EVEN).astype(np.float32)
 
 

@@ -100,8 +100,9 @@ def links_of(cells: DataFrame, similar: float = SIMILAR, strongest: int = 8, sam
             other = i != j
             i, j, near = i[other], j[other], near[other]
             if len(i):
-                _, home = leaves_touched(tree, (x[i] + x[j]) / 2, 0.0)
-                mine = home == leaf
+                rows, homes = leaves_touched(tree, (x[i] + x[j]) / 2, 0.0)
+                mine = np.zeros(len(i), dtype=bool)
+                mine[rows] = homes == leaf
                 i, j, near = i[mine], j[mine], near[mine]
                 w = weight[j] * (near - similar + (1 - similar)) / (2 - 2 * similar)
                 order = np.lexsort((ids[j], -w, i))
