@@ -42,7 +42,7 @@ def evoked(acts: DataFrame, elements: DataFrame, fragments: DataFrame, language:
     names = labels(spark)
     names = names.where(F.col("label_lang") == language) if language else names
     found = by_act.unionByName(by_element).join(below, "category", "left_semi").join(names, "category", "left")
-    return found.join(fragments.select("doc_id", "k", "frag_uri"), ["doc_id", "k"], "left").select("doc_id", "k", "frag_uri", "category", "label", "source", "score").distinct()
+    return found.join(fragments.select("doc_id", "k", "frag_uri"), ["doc_id", "k"], "left").select("doc_id", "k", "frag_uri", "category", "label", "label_lang", "source", "score").distinct()
 
 
 def elements_and_activations(acts: DataFrame, elements: DataFrame) -> DataFrame:

@@ -232,7 +232,7 @@ def q_resegment(spark, d):
 
 @query(
     """SELECT DISTINCT doc_id, 'urn:doc:' || substr(replace(regexp_replace(trim(replace(doc_id, 'urn:doc:', '')), '[^\\p{L}\\p{N}_\\-. ]+', '', 'g'), ' ', '_'), 1, 120) AS slugged,
-    doc_id || '#' AS base, CASE WHEN contains(frag_uri, '#') THEN split_part(frag_uri, '#', -1) END AS local, TRY_CAST(nullif(regexp_extract(frag_uri, 'frag-([0-9]+)', 1), '') AS INT) AS number
+    doc_id || '#' AS base, CASE WHEN contains(frag_uri, '#') THEN split_part(frag_uri, '#', -1) END AS local, coalesce(TRY_CAST(nullif(regexp_extract(frag_uri, 'frag-([0-9]+)', 1), '') AS INT), -1) AS number
     FROM s1_output"""
 )
 def q_identifiers(spark, d):
@@ -242,7 +242,7 @@ def q_identifiers(spark, d):
         F.concat(F.lit("urn:doc:"), T.slug(F.replace("doc_id", F.lit("urn:doc:"), F.lit("")))).alias("slugged"),
         T.base_of(F.col("doc_id")).alias("base"),
         F.when(F.col("frag_uri").isNotNull(), T.local_name(F.col("frag_uri"))).alias("local"),
-        T.fragment_number(F.col("frag_uri")).alias("number"),
+        F.coalesce(T.fragment_number(F.col("frag_uri")), F.lit(-1)).alias("number"),
     ).distinct()
 
 
@@ -445,7 +445,7 @@ _LABELS = "labels(category, label_lang, label) AS (" + _values([(f"{s}Intelligen
 
 @query(
     f"""{BASE}, {_LABELS}, x AS (SELECT doc_id, k, category, 'activation' AS source, CAST(share AS DOUBLE) AS score FROM acts UNION ALL SELECT DISTINCT doc_id, k, category, 'element', CAST(NULL AS DOUBLE) FROM usable WHERE category IS NOT NULL)
-    SELECT DISTINCT doc_id, k, frag_uri, category, label, source, score FROM x LEFT JOIN labels USING (category) LEFT JOIN fragments USING (doc_id, k)"""
+    SELECT DISTINCT doc_id, k, frag_uri, category, label, label_lang, source, score FROM x LEFT JOIN labels USING (category) LEFT JOIN fragments USING (doc_id, k)"""
 )
 def q_cq1(spark, d):
     return questions.evoked(_acts(spark, d), _usable(spark, d), _fragments(spark, d))
@@ -462,11 +462,11 @@ def q_cq2(spark, d):
 
 
 @query(
-    f"""{BASE} SELECT doc_id, k, category, CAST(grouping(k) AS INT) AS whole_document, count(*) AS n, count(*) FILTER (WHERE atype = 'Primary') AS primaries, count(*) FILTER (WHERE atype = 'Secondary') AS secondaries, CAST(max(share) AS DOUBLE) AS top_score
+    f"""{BASE} SELECT doc_id, coalesce(k, -1) AS k, category, CAST(grouping(k) AS INT) AS whole_document, count(*) AS n, count(*) FILTER (WHERE atype = 'Primary') AS primaries, count(*) FILTER (WHERE atype = 'Secondary') AS secondaries, CAST(max(share) AS DOUBLE) AS top_score
     FROM acts GROUP BY GROUPING SETS ((doc_id, k, category), (doc_id, category))"""
 )
 def q_cq2_rollup(spark, d):
-    return questions.summary(_acts(spark, d)).withColumn("whole_document", F.col("whole_document").cast("int"))
+    return questions.summary(_acts(spark, d)).withColumn("whole_document", F.col("whole_document").cast("int")).withColumn("k", F.coalesce("k", F.lit(-1)))
 
 
 _CQ3 = """ties AS (SELECT *, max(share) OVER (PARTITION BY doc_id, k) AS top FROM acts), kept AS (SELECT *, max(atype = 'Primary') OVER (PARTITION BY doc_id, k) AS has_primary FROM ties WHERE abs(CAST(share - top AS DOUBLE)) <= 1e-9),
