@@ -21,7 +21,7 @@ from . import vectors
 DIMS = vectors.DIMS
 BLOCK = 8192
 #: Rows that one posting structure holds.
-SHARE = 65536
+SHARE = 262144
 
 
 def pivots_of(docs: DataFrame, count: int, sample: int, seed: int = 5) -> np.ndarray:
@@ -57,22 +57,27 @@ class Postings:
     def gains(self, order: np.ndarray) -> np.ndarray:
         """How much less than the largest the footrule distance of every vector to a query's order is, halved: a shared
         pivot saves the prefix length less the worse of its two ranks."""
-        got = np.zeros(self.n, dtype=np.int32)
+        got = np.zeros(self.n, dtype=np.uint16)
         for rank, pivot in enumerate(order):
             base = pivot * self.prefix
-            same_or_better = self.rows[self.at[base] : self.at[base + rank + 1]]
-            got[same_or_better] += self.prefix - rank
+            got[self.rows[self.at[base] : self.at[base + rank + 1]]] += self.prefix - rank
             for other in range(rank + 1, self.prefix):
                 got[self.rows[self.at[base + other] : self.at[base + other + 1]]] += self.prefix - other
         return got
 
     def best(self, query: np.ndarray, order: np.ndarray, candidates: int) -> np.ndarray:
-        """The vectors among the first ``candidates`` by footrule, ties with the last included."""
+        """The vectors among the first ``candidates`` by footrule, ties with the last included. The distance of the last
+        is found by halving."""
         got = self.gains(order)
-        counts = np.bincount(got)
-        above = np.cumsum(counts[::-1])
-        step = int(np.searchsorted(above, min(candidates, self.n)))
-        return np.flatnonzero(got >= len(counts) - 1 - step)
+        low, high = 0, self.prefix * (self.prefix + 1) // 2 + 1  # at least ``candidates`` reach low, fewer reach high
+        wanted = min(candidates, self.n)
+        while high - low > 1:
+            middle = (low + high) // 2
+            if np.count_nonzero(got >= middle) >= wanted:
+                low = middle
+            else:
+                high = middle
+        return np.flatnonzero(got >= low)
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -86,7 +91,7 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return out
 
 
-def nearest(docs: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 128, prefix: int = 12, candidates: int = 1600, sample: int = 20000) -> DataFrame:
+def nearest(docs: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 512, prefix: int = 10, candidates: int = 2400, sample: int = 20000) -> DataFrame:
     """(query_id, doc_id, cosine, rank) of the ``k`` vectors most similar to each query, itself left out.
 
     ``docs`` and ``queries`` hold ``doc_id`` and ``u``, a direction (``vectors.directions``). Ties in cosine go by id. Queries go out in blocks of
