@@ -90,6 +90,24 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cell, np.searchsorted(own, np.arange(len(texts) + 1))
 
 
+# Scripts by their letters; kana stands before Han, as Japanese mixes both.
+SCRIPTS = [
+    ("Kana", re.compile("[\u3041-\u30ff]")), ("Hani", re.compile("[\u3400-\u9fff]")), ("Cyrl", re.compile("[\u0400-\u052f]")), ("Grek", re.compile("[\u0370-\u03ff\u1f00-\u1fff]")),
+    ("Arab", re.compile("[\u0600-\u06ff\u0750-\u077f]")), ("Deva", re.compile("[\u0900-\u097f]")), ("Thai", re.compile("[\u0e00-\u0e7f]")), ("Latn", re.compile("[A-Za-z\u00c0-\u024f]")),
+    ("Hang", re.compile("[\uac00-\ud7af]")), ("Hebr", re.compile("[\u0590-\u05ff]")),
+]
+
+
+def script_of(text: str) -> str:
+    """The script of most letters; any share of kana above a tenth makes Han Japanese."""
+    if text.isascii():
+        return "Latn"
+    counts = {name: len(pattern.findall(text)) for name, pattern in SCRIPTS}
+    if counts["Kana"] and counts["Kana"] >= 0.1 * counts["Hani"]:
+        counts["Kana"] += counts["Hani"]
+    return max(counts, key=counts.get) if any(counts.values()) else ""
+
+
 @dataclass
 class Classifier:
     languages: list[str]
@@ -97,6 +115,7 @@ class Classifier:
     bias: np.ndarray
     temperature: float = 1.0
     reject: float = 0.5
+    writes: dict[str, np.ndarray] | None = None  # per script, which languages were seen to be written in it
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probabilities of the languages, a row per text; texts without letters get equal ones."""
@@ -109,6 +128,10 @@ class Classifier:
                 some = np.flatnonzero(n)
                 out[start + some] = np.add.reduceat(self.logits[cell], at[some], axis=0) / n[some, None] + self.bias
         out /= self.temperature
+        if self.writes:
+            for i, text in enumerate(texts):
+                if (can := self.writes.get(script_of(text))) is not None:
+                    out[i, ~can] = -1e4
         out = np.exp(out - out.max(axis=1, keepdims=True)) if len(out) else out
         return out / out.sum(axis=1, keepdims=True) if len(out) else out
 
@@ -149,6 +172,18 @@ def fitted(texts: list[str], labels: list[str], epochs: int = 4, seed: int = 3,
     return Classifier(languages, embed @ weight, bias)
 
 
+def scripts_seen(texts: list[str], labels: list[str], languages: list[str], least: float = 0.3) -> dict[str, np.ndarray]:
+    """Per script the languages of whose units at least a share ``least`` is written in it."""
+    table = pd.crosstab(pd.Series(labels), pd.Series([script_of(t) for t in texts])) if texts else pd.DataFrame()
+    shares = table.div(table.sum(axis=1), axis=0)
+    found = {}
+    for script in shares.columns:
+        can = np.array([bool(shares.loc[lang, script] >= least) for lang in languages])
+        if script and can.any():
+            found[script] = can
+    return found
+
+
 def trained(texts: list[str], labels: list[str]) -> Classifier:
     """The classifier after cleaning and calibration on a held-out tenth."""
     rng = np.random.default_rng(1)
@@ -159,6 +194,7 @@ def trained(texts: list[str], labels: list[str]) -> Classifier:
     held = rng.random(len(texts)) < 0.1
     train = np.flatnonzero(keep & ~held)
     model = fitted([texts[i] for i in train], [labels[i] for i in train])
+    model.writes = scripts_seen([texts[i] for i in train], [labels[i] for i in train], model.languages)
     check = np.flatnonzero(keep & held & np.isin(labels, model.languages))
     if len(check):
         want = np.array([model.languages.index(labels[i]) for i in check])
@@ -202,7 +238,7 @@ def fit_on(df: DataFrame, text_col: str = "text", lang_col: str = "lang", train_
     return trained([texts[i] for i in keep], [labels[i] for i in keep])
 
 
-#: Scripts of which the sample may hold too little: (first, last character, language).
+#: A unit with an end mark.
 FINISHED = re.compile(r"[" + re.escape(sentences.END_MARKS) + r";][\"'”“’»)\]」』）\s]*$")
 
 
@@ -216,8 +252,13 @@ def segments_of(fixed: str, ends: list[int], scores: np.ndarray, model: Classifi
         sure = float(scores[i, best])
         labels.append((model.languages[best], sure) if letters >= 3 and sure >= model.reject else (None, sure))
         at = end
-    if not any(lang for lang, _ in labels):
-        return []
+    if not any(lang for lang, _ in labels):  # all rejected: the text as a whole, by its units' joint probability
+        worded = [i for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if len(LETTER.findall(fixed[a:b])) >= 3]
+        if not worded:
+            return []
+        joint = np.log(scores[worded] + 1e-9).mean(axis=0)
+        best = int(joint.argmax())
+        return [(0, len(ends) - 1, model.languages[best], float(np.exp(joint[best])))]
     known = [lang for lang, _ in labels]
     for i in range(1, len(known)):
         known[i] = known[i] or known[i - 1]
