@@ -114,44 +114,60 @@ def links_of(cells: DataFrame, similar: float = SIMILAR, strongest: int = 8, sam
 
     near = cells.mapInPandas(send, "cell long, n long, m array<double>, leaf long").groupBy("leaf").applyInPandas(pairs, "src long, dst long, w double")
     every = near.unionByName(cells.select(F.col("cell").alias("src"), F.col("cell").alias("dst"), F.col("n").cast("double").alias("w")))
-    return stochastic(every, strongest)
+    favoured = F.col("w") * (1 + F.lit(0.05) * F.pmod(F.xxhash64("dst"), F.lit(1000)) / 1000)  # else equal attractors would share their columns for ever
+    return stochastic(every.withColumn("w", favoured), strongest).drop("k")
 
 
 def stochastic(flows: DataFrame, strongest: int, least: float = 0.0) -> DataFrame:
-    """The strongest flows of each column, those of at least a share of all, scaled to sum to one."""
+    """The strongest flows of each column, those of at least a share of all, scaled to sum to one, and how many they are (``k``)."""
     per = Window.partitionBy("src")
     ranked = flows.withColumn("r", F.row_number().over(per.orderBy(F.desc("w"), "dst"))).where(F.col("r") <= strongest)
     kept = ranked.withColumn("w", F.col("w") / F.sum("w").over(per)).where((F.col("r") == 1) | (F.col("w") >= least))
-    return kept.select("src", "dst", (F.col("w") / F.sum("w").over(per)).alias("w"))
+    return kept.select("src", "dst", (F.col("w") / F.sum("w").over(per)).alias("w"), F.count("*").over(per).alias("k"))
 
 
 def markov_clusters(links: DataFrame, inflation: float = 2.0, least: float = 0.01, strongest: int = 8, rounds: int = 12) -> DataFrame:
     """(cell, cluster, flow): the attractor of each column of the limit and the flow that reaches it.
 
-    A column is settled once it is one flow to an attractor (a column that flows to itself alone); settled
-    columns take part as right-hand sides only.
+    A column with one flow left is as its target's column from then on, so it leaves the squaring as a pointer; pointers are
+    followed to their ends last. Columns that neither flow to others nor are flowed to never enter. What is still divided after
+    ``rounds`` points to its strongest flow, ties by the smaller cell.
     """
-    flows = settled(links)
-    lone = flows.groupBy("src").agg(F.count("*").alias("k"), F.min("dst").alias("dst")).where("k = 1")
-    roots = lone.where("src = dst").select(F.col("src").alias("root"))
-    ended = lone.join(roots, lone["dst"] == roots["root"], "left_semi").select("src", "dst")
-    settled_part = settled(ended.withColumn("w", F.lit(1.0)))
-    active = settled(flows.join(settled_part.select("src"), "src", "left_anti"))
+    flows = settled(links.select("src", "dst", "w", F.count("*").over(Window.partitionBy("src")).alias("k")))
+    met = flows.where("src <> dst").select(F.col("src").alias("cell")).unionByName(flows.where("src <> dst").select(F.col("dst").alias("cell"))).distinct()
+    met = settled(met)
+    alone = flows.join(met, flows["src"] == met["cell"], "left_anti").select("src", "dst", "w")
+    inside = flows.join(met, flows["src"] == met["cell"], "left_semi")
+    pointers = inside.where("k = 1").select("src", "dst", "w")
+    active = inside.where("k > 1").select("src", "dst", "w")
     for _ in range(rounds):
         if active.isEmpty():
             break
-        whole = active.unionByName(settled_part).select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("w").alias("w2"))
+        whole = active.unionByName(pointers).select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("w").alias("w2"))
         squared = active.join(whole, active["dst"] == whole["mid"]).groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
-        inflated = settled(stochastic(squared.withColumn("w", F.pow("w", F.lit(inflation))), strongest, least))
-        # settled now: one flow left, to a column that flows to itself alone (an old attractor, or one of now)
-        lone = inflated.groupBy("src").agg(F.count("*").alias("k"), F.min("dst").alias("dst")).where("k = 1").select("src", "dst")
-        roots = lone.where("src = dst").select("dst").unionByName(settled_part.where("src = dst").select("dst")).distinct()
-        done = settled(lone.join(roots, "dst", "left_semi").select("src", "dst", F.lit(1.0).alias("w")))
-        settled_part = settled_part.unionByName(done)
-        active = settled(inflated.join(done.select("src"), "src", "left_anti"))
+        now = settled(stochastic(squared.withColumn("w", F.pow("w", F.lit(inflation))), strongest, least))
+        pointers = pointers.unionByName(now.where("k = 1").select("src", "dst", "w"))
+        active = now.where("k > 1").select("src", "dst", "w")
     rest = active.groupBy("src").agg(F.max(F.struct("w", (-F.col("dst")).alias("neg"))).alias("best")).select("src", (-F.col("best.neg")).alias("dst"), F.col("best.w").alias("w"))
-    chosen = settled_part.select("src", "dst", "w").unionByName(rest.select("src", "dst", "w"))
-    return chosen.select(F.col("src").alias("cell"), F.col("dst").alias("cluster"), F.col("w").alias("flow"))
+    ends = followed(pointers.unionByName(rest))
+    return alone.select("src", "dst", "w").unionByName(ends).select(F.col("src").alias("cell"), F.col("dst").alias("cluster"), F.col("w").alias("flow"))
+
+
+def followed(pointers: DataFrame, rounds: int = 20) -> DataFrame:
+    """Pointers (src, dst, w) taken to their ends by doubling; of two cells that point at each other the smaller is the end."""
+
+    def hop(at: DataFrame) -> DataFrame:
+        after = at.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
+        return at.join(after, at["dst"] == after["mid"], "left").select("src", "dst", "w", F.coalesce("to", "dst").alias("to"))
+
+    twice = hop(pointers)
+    at = settled(twice.select("src", F.when((F.col("to") == F.col("src")) & (F.col("src") < F.col("dst")), F.col("src")).otherwise(F.col("dst")).alias("dst"), "w"))
+    for _ in range(rounds):
+        now = settled(hop(at))
+        at = now.select("src", F.col("to").alias("dst"), "w")
+        if now.where("to <> dst").isEmpty():
+            break
+    return at
 
 
 def clustered(df: DataFrame, id_col: str = "doc_id", vector_col: str = "vector", width: float = CELL, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:

@@ -22,6 +22,12 @@ def direction(vector: Column) -> Column:
 
 
 def directions(df: DataFrame, id_col: str = "doc_id", vector_col: str = "vector", dims: int = DIMS) -> DataFrame:
-    """(id, ``u``): one direction per id that has a valid vector; of several the smallest in array order."""
-    rows = df.where(F.col(id_col).isNotNull() & is_valid(F.col(vector_col), dims)).select(F.col(id_col).alias("doc_id"), direction(F.col(vector_col)).alias("u"))
-    return rows.groupBy("doc_id").agg(F.min("u").alias("u"))
+    """(id, ``u``): one direction per id that has a valid vector; of several vectors that of the smallest hash.
+
+    The numbers are aggregated as single columns, for which Spark hashes; arrays would have to be sorted.
+    """
+    v = F.col(vector_col)
+    rows = df.where(F.col(id_col).isNotNull() & is_valid(v, dims)).select(F.col(id_col).alias("doc_id"), F.xxhash64(v).alias("_h"), direction(v).alias("_u"))
+    wide = rows.select("doc_id", "_h", *[F.col("_u")[i].alias(f"_{i}") for i in range(dims)])
+    one = wide.groupBy("doc_id").agg(*[F.min_by(f"_{i}", "_h").alias(f"_{i}") for i in range(dims)])
+    return one.select("doc_id", F.array(*[f"_{i}" for i in range(dims)]).alias("u"))

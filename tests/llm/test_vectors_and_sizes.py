@@ -86,14 +86,21 @@ def test_markov_clusters_split_a_bridge(spark):
     for _ in range(12):
         m = np.power(m @ m, 2)
         m /= m.sum(axis=0)
-    links = clusters.stochastic(spark.createDataFrame([(a, b, w) for a, b, w in edges], "src long, dst long, w double"), 20)
+    links = clusters.stochastic(spark.createDataFrame([(a, b, w) for a, b, w in edges], "src long, dst long, w double"), 20).drop("k")
     got = {}
     for r in clusters.markov_clusters(links, strongest=20, least=1e-4).collect():
         got.setdefault(r["cluster"], set()).add(r["cell"])
+    assert all(c in members for c, members in got.items())
     assert sorted(map(sorted, got.values())) == [list(range(1, 6)), list(range(6, 11)), [11]]
     assert {tuple(np.flatnonzero(m[:, j] > 0.01) < 5) for j in range(5)} <= {(True,) * n for n in range(1, 6)}
 
 
+def test_pointers_end(spark):
+    at = [(1, 2), (2, 3), (3, 4), (4, 4), (5, 6), (6, 5), (7, 6)]
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in at], "src long, dst long, w double")
+    assert rows(clusters.followed(df), "src", "dst") == [(1, 4), (2, 4), (3, 4), (4, 4), (5, 5), (6, 5), (7, 5)]
+
+
 def test_links_are_all_found(spark):
     rng = np.random.default_rng(3)
     docs = vectors.directions(loaded(spark, [(f"d{i}", v) for i, v in enumerate(rng.dirichlet(np.ones(8) * 30, 600))])).withColumn("cell", clusters.cell_of(F.col("u")))
