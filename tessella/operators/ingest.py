@@ -98,3 +98,12 @@ def limited_language(rows: DataFrame, hint: str | None) -> DataFrame:
 def numbered(rows: DataFrame) -> DataFrame:
     """Positions made dense from 0 in the order of ``k``."""
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1)
+
+
+def projected(paragraphs: Column) -> Column:
+    """Paragraphs of an outer cleaner: the cleaned text, else the raw one, else nothing; the language or 'und'."""
+    blank = F.lit("")
+    return F.transform(
+        paragraphs,
+        lambda p: F.struct(F.coalesce(F.nullif(p["cleaned"], blank), F.nullif(p["raw"], blank), blank).alias("text"), F.coalesce(F.nullif(p["language"], blank), F.lit("und")).alias("lang")),
+    )

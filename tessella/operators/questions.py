@@ -86,13 +86,63 @@ def leading(vectors: DataFrame, n: int = 3) -> DataFrame:
     return long.withColumn("place", F.row_number().over(per)).where(F.col("place") <= n).select("doc_id", "place", "category", "value")
 
 
-def report_lines(found: DataFrame) -> DataFrame:
-    """Question 3 as text: (doc_id, line_no, line), a fragment a line, ties marked and in the order of names."""
-    pt = F.create_map(*[F.lit(x) for s, _, p, *_ in dims.CATEGORIES for x in (f"{s}Intelligence", p)])
-    named = found.withColumn("name", F.coalesce(pt[F.col("category")], "category"))
-    lines = named.groupBy("doc_id", "k").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("o"), "name", "score", "atype"))), lambda x: F.format_string("%s (%s, score=%.4f)", x["name"], F.coalesce(x["atype"], F.lit("-")), x["score"])), "; ").alias("body"),
-        F.count("*").alias("n"),
-    )
-    per = Window.partitionBy("doc_id").orderBy("k")
-    return lines.select("doc_id", F.row_number().over(per).alias("line_no"), F.format_string("[%03d] %s%s", F.col("k"), F.when(F.col("n") > 1, "TOP (empate): ").otherwise("TOP: "), F.col("body")).alias("line"))
+def _names(spark_map: list[tuple[str, str]], column: str):
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in spark_map for x in pair]), F.col(column)), F.col(column))
+
+
+ENGLISH = [(f"{s}Intelligence", en) for s, en, *_ in dims.CATEGORIES]
+PORTUGUESE = [(f"{s}Intelligence", pt) for s, _, pt, *_ in dims.CATEGORIES]
+
+
+def _numbered(parts: DataFrame) -> DataFrame:
+    """(doc_id, place: array of ints, line) numbered per document. A document's report is one text, so its lines are one window."""
+    per = Window.partitionBy("doc_id").orderBy("place", "line")
+    return parts.select("doc_id", F.row_number().over(per).alias("line_no"), "line")
+
+
+def report_lines(acts: DataFrame, vectors: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Question 3 as text, (doc_id, line_no, line): the document's vector, leading category and first three, then each
+    fragment with what stands out, ties listed by name."""
+    top = leading(vectors).withColumn("name", _names(ENGLISH, "category"))
+    shown = F.format_string("%.4f", F.col("value"))
+    place = lambda *n: F.array(*[F.lit(x).cast("int") if isinstance(x, int) else x.cast("int") for x in n])
+    docs = vectors.select("doc_id", F.explode(F.array(
+        F.struct(place(0, 0, 0).alias("place"), F.concat(F.lit("[Documento] "), "doc_id").alias("line")),
+        F.struct(place(0, 1, 0).alias("place"), F.concat(F.lit("  - miVector: "), "mi_vector").alias("line")),
+        F.struct(place(0, 3, 0).alias("place"), F.lit("  - Ranking (top 3):").alias("line")),
+        F.struct(place(0, 5, 0).alias("place"), F.lit("").alias("line")),
+        F.struct(place(0, 6, 0).alias("place"), F.lit("").alias("line")),
+        F.struct(place(0, 7, 0).alias("place"), F.concat(F.lit("[Documento — Fragmentos] "), "doc_id").alias("line")),
+        F.struct(place(0, 8, 0).alias("place"), F.lit("").alias("line")),
+    )).alias("x")).select("doc_id", "x.place", "x.line")
+    first = top.where("place = 1").select("doc_id", place(0, 2, 0).alias("place"), F.concat(F.lit("  - TOP (documento): "), "name", F.lit(" (score="), shown, F.lit(")")).alias("line"))
+    three = top.select("doc_id", F.array(F.lit(0), F.lit(4), F.col("place").cast("int")).alias("place"), F.concat(F.lit("      • "), "name", F.lit(": "), shown).alias("line"))
+    found = standouts(acts).withColumn("name", _names(PORTUGUESE, "category"))
+    scored = F.concat("name", F.format_string(" (score=%.4f", F.col("score")), F.when(F.coalesce("atype", F.lit("")) != "", F.concat(F.lit(", tipo="), "atype")).otherwise(""), F.lit(")"))
+    per = Window.partitionBy("doc_id", "k").orderBy(F.lower("name"))
+    each = found.withColumn("n", F.row_number().over(per)).select("doc_id", F.array(F.lit(1), F.col("k"), F.lit(10) + F.col("n")).alias("place"), F.concat(F.when(F.col("tied"), "    - ").otherwise("  > TOP: "), scored).alias("line"))
+    heads = found.select("doc_id", "k", "tied").distinct().join(fragments.select("doc_id", "k", F.col("text").alias("label"), "frag_uri"), ["doc_id", "k"], "left")
+    head = heads.select("doc_id", F.array(F.lit(1), F.col("k"), F.lit(0)).alias("place"), F.concat(F.lit("[Fragmento] "), F.coalesce(F.nullif("label", F.lit("")), "frag_uri")).alias("line"))
+    tie = heads.where("tied").select("doc_id", F.array(F.lit(1), F.col("k"), F.lit(1)).alias("place"), F.lit("  > TOP (empate):").alias("line"))
+    blank = heads.select("doc_id", F.array(F.lit(1), F.col("k"), F.lit(10**9)).alias("place"), F.lit("").alias("line"))
+    out = docs
+    for part in (first, three, head, tie, each, blank):
+        out = out.unionByName(part)
+    return _numbered(out)
+
+
+def metrics(rows: DataFrame) -> DataFrame:
+    """Rows, documents and fragments of a question's answer."""
+    return rows.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("doc_id", "k").alias("fragments"))
+
+
+def elements_by_category(elements: DataFrame) -> DataFrame:
+    """Per fragment and category the set of its elements, (type, text) in order of type and name."""
+    pairs = F.collect_set(F.struct(F.coalesce("role_name", F.lit("ExplanationElement")).alias("type"), F.lower("text").alias("low"), F.col("text").alias("name")))
+    shown = F.transform(F.array_sort(pairs), lambda x: F.concat(x["type"], F.lit(":"), x["name"]))
+    return elements.where("category IS NOT NULL").groupBy("doc_id", "k", "category").agg(F.array_join(shown, "|").alias("elements"))
+
+
+def document_label(labels_of: list, uri) -> object:
+    """The first of a document's labels that is not blank (Portuguese and English label, then title, then any), else its URI."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in labels_of], uri)

@@ -85,3 +85,8 @@ def vector_shift(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = N.at(F.col("a")), N.at(F.col("b"))
     gap = sum(((x - y) * (x - y) for x, y in zip(a[1:], b[1:], strict=True)), (a[0] - b[0]) * (a[0] - b[0]))
     return joined.select("doc_id", F.round(N.cosine(a, b), 9).alias("cosine"), F.round(F.sqrt(gap), 9).alias("distance"))
+
+
+def first_documents(vectors: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` documents by id, all if ``n`` is not above 0."""
+    return vectors.orderBy("doc_id").limit(n) if n > 0 else vectors

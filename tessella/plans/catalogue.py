@@ -480,7 +480,21 @@ def q_cq3(spark, d):
 
 @query()
 def q_cq3_lines(spark, d):
-    return questions.report_lines(questions.standouts(_acts(spark, d)))
+    acts, frags = _acts(spark, d), _fragments(spark, d)
+    return questions.report_lines(acts, profile.document_vectors(acts, frags), frags)
+
+
+@query(f"{BASE}, {_CQ3} SELECT count(*) AS rows, count(DISTINCT doc_id) AS documents, count(DISTINCT (doc_id, k)) AS fragments FROM one WHERE rn = 1")
+def q_cq3_metrics(spark, d):
+    return questions.metrics(questions.standouts(_acts(spark, d)))
+
+
+@query(
+    f"""WITH {EVIDENCES}, e AS (SELECT DISTINCT doc_id, k, category, role_name AS type, lower(text) AS low, text AS name FROM usable WHERE category IS NOT NULL)
+    SELECT doc_id, k, category, string_agg(type || ':' || name, '|' ORDER BY type, low, name) AS elements FROM e GROUP BY ALL"""
+)
+def q_elements_by_category(spark, d):
+    return questions.elements_by_category(_usable(spark, d))
 
 
 _PLACES = "CASE category " + " ".join(f"WHEN '{s}' THEN {cq}" for s, _, _, _, cq, _ in dims.CATEGORIES) + " END"

@@ -41,6 +41,12 @@ def write_lines(lines: DataFrame, path: str) -> None:
     texts.write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
+def preview(rows: DataFrame, n: int = 10) -> DataFrame:
+    """The first paragraphs of a document, long ones shortened, to look at."""
+    t = F.col("text")
+    return rows.orderBy("doc_id", "k").limit(n).select("doc_id", "k", "lang", F.when(F.length(t) > 80, F.concat(F.substring(t, 1, 80), F.lit("…"))).otherwise(t).alias("text"))
+
+
 def write_sheet(df: DataFrame, path: str) -> None:
     """A table as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -100,7 +100,12 @@ def test_questions(spark):
     assert rows(questions.summary(acts).where("whole_document = 1"), "category", "n") == [("LinguisticIntelligence", 1), ("MusicalIntelligence", 1), ("SpatialIntelligence", 1)]
     assert rows(questions.standouts(acts), "k", "category", "tied") == [(0, "LinguisticIntelligence", False), (1, "SpatialIntelligence", False)]
     tied = spark.createDataFrame([("d", 0, f"a{i}", n, 0.5, "Secondary") for i, n in enumerate(["SpatialIntelligence", "MusicalIntelligence"])], "doc_id string, k int, act_uri string, category string, share double, atype string")
-    assert questions.report_lines(questions.standouts(tied)).first()["line"] == "[000] TOP (empate): Espacial-visual (Secondary, score=0.5000); Musical (Secondary, score=0.5000)"
+    lines = [r["line"] for r in questions.report_lines(tied, profile.document_vectors(acts, frags), frags).orderBy("line_no").collect()]
+    assert lines[9:15] == ["[Documento — Fragmentos] d", "", "[Fragmento] t", "  > TOP (empate):", "    - Espacial-visual (score=0.5000, tipo=Secondary)", "    - Musical (score=0.5000, tipo=Secondary)"]
+    assert rows(questions.metrics(tied)) == [(2, 1, 1)]
+    assert rows(questions.elements_by_category(els), "elements") == [("Keyword:x",)]
+    named = spark.createDataFrame([(" ", "b", "u"), (None, None, "u")], "a string, b string, u string")
+    assert [r[0] for r in named.select(questions.document_label([F.col("a"), F.col("b")], F.col("u"))).collect()] == ["b", "u"]
     assert rows(questions.leading(profile.document_vectors(acts, frags)), "place", "category")[:2] == [(1, "LinguisticIntelligence"), (2, "SpatialIntelligence")]
     assert questions.categories_below(spark).count() == 8
 
@@ -217,3 +222,44 @@ def test_whole_pipeline(spark):
     for bad in ({"theta": 2}, {"norm": "x"}, {"scope": "x"}, {"graph_mode": "x"}, {"inference": "owl"}):
         with pytest.raises(ValueError):
             PipelineConfig(**bad)
+
+
+# Two documents with known results: raw scores per fragment, title flags, then shares, vectors and report lines.
+KNOWN = {
+    "urn:doc:10": (
+        [
+            {"Linguistic": 0.4313986477746436, "BodilyKinesthetic": 0.8088677458949873, "Naturalist": 0.40443387294749367, "Interpersonal": 0.624425109932994, "LogicalMathematical": 0.33710401776836085},
+            {"Linguistic": 2.610496543921958, "LogicalMathematical": 0.2790749355398803, "BodilyKinesthetic": 0.2790749355398803, "Musical": 0.4859391630901288},
+            {"Interpersonal": 1.7731432763807145, "BodilyKinesthetic": 0.7149796400883357, "Linguistic": 0.5729631362351731},
+        ],
+        2,
+        ["16.55,12.93,0.00,0.00,31.04,23.96,0.00,15.52", "71.42,7.64,0.00,13.30,7.64,0.00,0.00,0.00", "18.72,0.00,0.00,0.00,23.36,57.92,0.00,0.00"],
+        "34.03,6.23,0.00,4.03,20.92,30.08,0.00,4.70",
+        {(0, "Interpersonal")},
+    ),
+    "urn:doc:107": (
+        [{"Naturalist": 1.4133001334610946, "Spatial": 1.9591295425855202}, {"Naturalist": 2.545474408046264, "BodilyKinesthetic": 1.8735704516848815}],
+        0,
+        ["0.00,0.00,58.09,0.00,0.00,0.00,0.00,41.91", "0.00,0.00,0.00,0.00,42.40,0.00,0.00,57.60"],
+        "0.00,0.00,32.83,0.00,18.43,0.00,0.00,48.73",
+        set(),
+    ),
+}
+
+
+@pytest.mark.parametrize("doc", sorted(KNOWN))
+def test_known_documents(spark, doc):
+    per_fragment, title, frag_texts, doc_text, linked = KNOWN[doc]
+    acts = activation.activations(spark.createDataFrame([(doc, k, f"{n}Intelligence", s) for k, by in enumerate(per_fragment) for n, s in by.items()], "doc_id string, k int, category string, score double"))
+    frags = spark.createDataFrame([(doc, k, f"{doc}#frag-{k:03d}", f"texto {k}", "pt", k == title) for k in range(len(per_fragment))], "doc_id string, k int, frag_uri string, text string, lang string, is_title boolean")
+    assert [r["mi_vector"] for r in profile.fragment_vectors(acts).orderBy("k").collect()] == frag_texts
+    vectors = profile.document_vectors(acts, frags)
+    assert vectors.first()["mi_vector"] == doc_text
+    assert {(r["k"], r["category"].removesuffix("Intelligence")) for r in acts.where("is_secondary_link").collect()} == linked
+    if doc == "urn:doc:107":
+        lines = [r["line"] for r in questions.report_lines(acts, vectors, frags).orderBy("line_no").collect()]
+        assert lines == [
+            "[Documento] urn:doc:107", "  - miVector: 0.00,0.00,32.83,0.00,18.43,0.00,0.00,48.73", "  - TOP (documento): Naturalist (score=0.4873)", "  - Ranking (top 3):",
+            "      • Naturalist: 0.4873", "      • Spatial: 0.3283", "      • Bodily-Kinesthetic: 0.1843", "", "", "[Documento — Fragmentos] urn:doc:107", "",
+            "[Fragmento] texto 0", "  > TOP: Espacial-visual (score=0.5809, tipo=Primary)", "", "[Fragmento] texto 1", "  > TOP: Naturalista (score=0.5760, tipo=Primary)", "",
+        ]
