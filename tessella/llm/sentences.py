@@ -216,7 +216,7 @@ def taught(text: str, found: list[tuple[int, tuple[str, ...], bool]]) -> list[in
             elif before == "letter":
                 tag = int(plain in ("d",) or nxt.startswith("o"))
             elif gap == "0":
-                tag = int(before == "word" and plain in ("U", "c", "k", "s") or before in ("word",) and nxt.startswith("o"))
+                tag = int(before in ("word", "wordU", "may", "num") and (plain in ("U", "c", "k", "s") or nxt.startswith("o")))
             else:
                 tag = 1
         else:
