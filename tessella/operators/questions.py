@@ -94,15 +94,10 @@ ENGLISH = [(f"{s}Intelligence", en) for s, en, *_ in dims.CATEGORIES]
 PORTUGUESE = [(f"{s}Intelligence", pt) for s, _, pt, *_ in dims.CATEGORIES]
 
 
-def _numbered(parts: DataFrame) -> DataFrame:
-    """(doc_id, place: array of ints, line) numbered per document. A document's report is one text, so its lines are one window."""
-    per = Window.partitionBy("doc_id").orderBy("place", "line")
-    return parts.select("doc_id", F.row_number().over(per).alias("line_no"), "line")
-
-
 def report_lines(acts: DataFrame, vectors: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Question 3 as text, (doc_id, line_no, line): the document's vector, leading category and first three, then each
-    fragment with what stands out, ties listed by name."""
+    """Question 3 as text, (doc_id, part, k, n, line): the document's vector, leading category and first three, then each
+    fragment with what stands out, ties listed by name. Lines stand in the order of part, k and n; no task numbers
+    a whole document's lines, as one document may hold a large share of them."""
     top = leading(vectors).withColumn("name", _names(ENGLISH, "category"))
     shown = F.format_string("%.4f", F.col("value"))
     place = lambda *n: F.array(*[F.lit(x).cast("int") if isinstance(x, int) else x.cast("int") for x in n])
@@ -128,7 +123,7 @@ def report_lines(acts: DataFrame, vectors: DataFrame, fragments: DataFrame) -> D
     out = docs
     for part in (first, three, head, tie, each, blank):
         out = out.unionByName(part)
-    return _numbered(out)
+    return out.select("doc_id", F.col("place")[0].alias("part"), F.col("place")[1].alias("k"), F.col("place")[2].alias("n"), "line")
 
 
 def metrics(rows: DataFrame) -> DataFrame:

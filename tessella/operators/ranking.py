@@ -58,20 +58,28 @@ def sanity(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.count("*").alias("documents"), F.count_if(F.coalesce(F.size("vector") != 8, F.lit(True))).alias("wrong_size"), F.count_if(F.coalesce(total <= 0, F.lit(True))).alias("no_sum"))
 
 
-def rank_correlation(left: DataFrame, right: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
-    """Spearman's correlation of two score tables per ``key``: Pearson's of average ranks.
+def average_ranks(df: DataFrame, value: str, name: str, bins: int = 4096) -> DataFrame:
+    """``df`` with the average rank (the highest value first) of each row within its ``key``.
 
-    Ranks come from counts per distinct score, so ties of any size are one row in the window.
+    Counts per distinct value are cut into bins of value; the bins' counts (at most ``bins`` a key) are summed in a window, and ranks within
+    a bin in another, so no task sorts a whole key.
     """
+    counts = df.groupBy("key", value).agg(F.count("*").alias("n"))
+    ends = df.groupBy("key").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    width = F.when(F.col("high") > F.col("low"), (F.col(value) - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    binned = counts.join(ends, "key").withColumn("bin", F.least(F.lit(bins - 1), F.floor(width * bins)).cast("int")).select("key", value, "n", "bin")
+    per_bin = binned.groupBy("key", "bin").agg(F.sum("n").alias("m"))
+    above = per_bin.withColumn("above", F.sum("m").over(Window.partitionBy("key").orderBy(F.desc("bin"))) - F.col("m")).select("key", "bin", "above")
+    inside = F.sum("n").over(Window.partitionBy("key", "bin").orderBy(F.desc(value)))
+    placed = binned.join(above, ["key", "bin"]).select("key", value, (F.col("above") + inside - (F.col("n") - 1) / 2.0).alias(name))
+    return df.join(placed, ["key", value])
 
-    def ranks(df: DataFrame, name: str) -> DataFrame:
-        counts = df.groupBy("key", value).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("key").orderBy(F.desc(value)))
-        placed = counts.withColumn(name, before - (F.col("n") - 1) / 2.0)
-        return df.join(placed, ["key", value]).select("key", *keys, name)
 
-    both = ranks(left, "a").join(ranks(right, "b"), ["key", *keys])
-    return both.groupBy("key").agg(F.round(F.corr("a", "b"), 6).alias("spearman"), F.count("*").alias("n"))
+def rank_correlation(left: DataFrame, right: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
+    """Spearman's correlation of two score tables per ``key``: Pearson's of average ranks."""
+    a = average_ranks(left, value, "a").select("key", *keys, "a")
+    b = average_ranks(right, value, "b").select("key", *keys, "b")
+    return a.join(b, ["key", *keys]).groupBy("key").agg(F.round(F.corr("a", "b"), 6).alias("spearman"), F.count("*").alias("n"))
 
 
 def f1_micro(predicted: Column, actual: Column) -> Column:

@@ -360,7 +360,7 @@ def q_payload_json(spark, d):
 @query("SELECT doc_id, k, count(*) AS n, round(sum(confidence), 6) AS confidence FROM (SELECT DISTINCT * FROM evidences WHERE doc_id IS NOT NULL AND k IS NOT NULL) GROUP BY doc_id, k")
 def q_payload_round_trip(spark, d):
     rows = table(spark, d, "evidences").where("doc_id IS NOT NULL AND k IS NOT NULL").distinct()
-    back = files.payload(files.payload_json(rows), "payload")
+    back = files.payload(files.payload_json(rows).drop("k"), "payload")
     return back.groupBy("doc_id", "k").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,20 +35,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, rows_each: int, at_least: int | None = None) -> DataFrame:
-    """Repartition rows evenly when a scan has fewer partitions than the cluster has slots.
-
-    A few large input files would otherwise leave cores idle in CPU-bound Python stages.
-    """
-    spark = df.sparkSession
-    slots = max(spark.sparkContext.defaultParallelism, at_least or 1)
-    have = df.rdd.getNumPartitions()
-    return df if have >= slots else df.repartition(slots)
-
-
-def md5_hex(column):
-    """Lower-case hex MD5 of the UTF-8 bytes of a string column."""
-    return F.md5(F.encode(column, "UTF-8"))
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows over all slots if it has fewer partitions, as a few small files otherwise leave cores idle in
+    CPU-bound stages. A large table has more partitions than slots and isn't moved."""
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)
 
 
 _SHIPPED: set[str] = set()

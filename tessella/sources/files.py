@@ -58,10 +58,13 @@ def payload(rows: DataFrame, json_col: str) -> DataFrame:
 
 
 def payload_json(rows: DataFrame) -> DataFrame:
-    """(doc_id, payload): each document's evidence as {"k": [evidence, ...]}. One document's evidence is one value, as the format has it."""
+    """(doc_id, k, payload): each fragment's evidence as {"k": [evidence, ...]}, in the order of ``i``.
+
+    A payload holds one fragment, as one document may hold a large share of all evidence; ``payload`` reads several of a document alike.
+    """
     lists = rows.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("i", "role", "text", "lang", "intelligence", "confidence", "relevance"))).alias("l"))
     plain = F.transform("l", lambda e: F.struct(*[e[f].alias(f) for f in ("role", "text", "lang", "intelligence", "confidence", "relevance")]))
-    return lists.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("k").cast("string"), plain.alias("e")))))).alias("payload"))
+    return lists.select("doc_id", "k", F.to_json(F.create_map(F.col("k").cast("string"), plain)).alias("payload"))
 
 
 def turtle_files(spark: SparkSession, folder: str, pattern: str = "*.ttl") -> DataFrame:

@@ -36,9 +36,10 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """(doc_id, line_no, line) as one text per document, in folders by document."""
-    texts = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
-    texts.write.mode("overwrite").partitionBy("doc_id").text(path)
+    """Report lines (doc_id, part, k, n, line) as text files in a folder per document, their names in the order of the
+    lines. Rows are ranged and sorted by document and place, so a long document is spread over several files."""
+    order = ["doc_id", "part", "k", "n"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "line").write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
 def preview(rows: DataFrame, n: int = 10) -> DataFrame:

@@ -100,7 +100,7 @@ def test_questions(spark):
     assert rows(questions.summary(acts).where("whole_document = 1"), "category", "n") == [("LinguisticIntelligence", 1), ("MusicalIntelligence", 1), ("SpatialIntelligence", 1)]
     assert rows(questions.standouts(acts), "k", "category", "tied") == [(0, "LinguisticIntelligence", False), (1, "SpatialIntelligence", False)]
     tied = spark.createDataFrame([("d", 0, f"a{i}", n, 0.5, "Secondary") for i, n in enumerate(["SpatialIntelligence", "MusicalIntelligence"])], "doc_id string, k int, act_uri string, category string, share double, atype string")
-    lines = [r["line"] for r in questions.report_lines(tied, profile.document_vectors(acts, frags), frags).orderBy("line_no").collect()]
+    lines = [r["line"] for r in questions.report_lines(tied, profile.document_vectors(acts, frags), frags).orderBy("part", "k", "n").collect()]
     assert lines[9:15] == ["[Documento — Fragmentos] d", "", "[Fragmento] t", "  > TOP (empate):", "    - Espacial-visual (score=0.5000, tipo=Secondary)", "    - Musical (score=0.5000, tipo=Secondary)"]
     assert rows(questions.metrics(tied)) == [(2, 1, 1)]
     assert rows(questions.elements_by_category(els), "elements") == [("Keyword:x",)]
@@ -257,7 +257,7 @@ def test_known_documents(spark, doc):
     assert vectors.first()["mi_vector"] == doc_text
     assert {(r["k"], r["category"].removesuffix("Intelligence")) for r in acts.where("is_secondary_link").collect()} == linked
     if doc == "urn:doc:107":
-        lines = [r["line"] for r in questions.report_lines(acts, vectors, frags).orderBy("line_no").collect()]
+        lines = [r["line"] for r in questions.report_lines(acts, vectors, frags).orderBy("part", "k", "n").collect()]
         assert lines == [
             "[Documento] urn:doc:107", "  - miVector: 0.00,0.00,32.83,0.00,18.43,0.00,0.00,48.73", "  - TOP (documento): Naturalist (score=0.4873)", "  - Ranking (top 3):",
             "      • Naturalist: 0.4873", "      • Spatial: 0.3283", "      • Bodily-Kinesthetic: 0.1843", "", "", "[Documento — Fragmentos] urn:doc:107", "",
