@@ -86,9 +86,13 @@ def trigger_table(triggers: list[tuple[str, str, str]] | None = None) -> dict[st
 
 
 def triggered(text: Column, triggers: list[tuple[str, str, str]] | None = None) -> Column:
-    """The categories whose terms a text holds, in index order."""
-    low = T.folded(text)
-    return F.array_compact(F.array(*[F.when(T.is_triggered(low, terms), name) for name, terms in trigger_table(triggers).items()]))
+    """The categories whose terms a text holds, in index order. The folded text is bound once, for all terms of all categories."""
+    table = trigger_table(triggers)
+
+    def names(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(T.is_triggered(low, terms), name) for name, terms in table.items()]))
+
+    return F.flatten(F.transform(F.array(T.folded(text)), names))
 
 
 def trigger_hits(rows: DataFrame, triggers: list[tuple[str, str, str]] | None = None) -> DataFrame:

@@ -21,9 +21,15 @@ def chosen_profiles(profiles: DataFrame, keys: list[str] | None = None) -> DataF
 
 
 def latest_vectors(loaded: DataFrame) -> DataFrame:
-    """One vector per document of those with eight numbers: the one loaded last, ties by the greater vector."""
+    """One vector per document of those with eight numbers: the one loaded last, ties by a hash of the vector.
+
+    The numbers are aggregated as single columns by one whole number, for which Spark hashes instead of sorting.
+    """
     good = loaded.where((F.size("vector") == 8) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)))
-    return good.groupBy("doc_id").agg(F.max(F.struct("loaded_at", "vector")).alias("r")).select("doc_id", F.col("r.vector").alias("vector"))
+    order = F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(0)) * 1024 + F.pmod(F.xxhash64("vector"), F.lit(1024))
+    wide = good.select("doc_id", order.alias("_o"), *[F.col("vector")[i].alias(f"_{i}") for i in range(8)])
+    one = wide.groupBy("doc_id").agg(*[F.max_by(f"_{i}", "_o").alias(f"_{i}") for i in range(8)])
+    return one.select("doc_id", F.array(*[f"_{i}" for i in range(8)]).alias("vector"))
 
 
 def scored(vectors: DataFrame, profiles: DataFrame, focus: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from .. import dims
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import activation, batch, evidence, export, ingest, profile, questions, ranking, shapes, triples
-from ..shared import table
+from ..shared import settled, table
 from ..sources import files, sinks
 from ..streaming import incremental
 
@@ -624,7 +624,7 @@ def q_profile_sanity(spark, d):
     SELECT key, round(corr(ra, rb), 6) AS spearman, count(*) AS n FROM r GROUP BY key"""
 )
 def q_rank_stability(spark, d):
-    vectors, profiles = ranking.latest_vectors(table(spark, d, "loaded_doc")), table(spark, d, "profiles")
+    vectors, profiles = settled(ranking.latest_vectors(table(spark, d, "loaded_doc"))), table(spark, d, "profiles")
     return ranking.rank_correlation(ranking.scored(vectors, profiles), ranking.scored(vectors, profiles, dims.SHORT[:4]), ["doc_id"])
 
 
