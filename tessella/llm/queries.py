@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import settled, table
+from ..shared import settled, spread, table
 from . import clusters, encoding, language, mixing, neighbours, packing, sentences, splitting, tokens, truncation, vectors
 
 KEYS = ["doc_id", "k"]
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "s1_output")
+    return spread(table(spark, sf_dir, "s1_output"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
@@ -81,7 +85,7 @@ def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("digest"), "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "source", F.md5("text").alias("digest"), "text")
     return settled(tokens.with_tokens(docs))
 
 
@@ -120,11 +124,11 @@ def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated_texts(table(spark, sf_dir, "documents"), "doc_id").where("cut").select("doc_id")
+    return truncation.truncated_texts(_documents(spark, sf_dir), "doc_id").where("cut").select("doc_id")
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncation_rates(truncation.truncated_texts(table(spark, sf_dir, "documents"), "doc_id"))
+    return truncation.truncation_rates(truncation.truncated_texts(_documents(spark, sf_dir), "doc_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_neighbours, p3_found, p4_found, p4_pieces, p5_found, p5_languages, p6_found, p6_restored, p7_found, p7_containers, p8_found, p8_shares, p8_uses, p9_found, p9_rates)}

@@ -256,6 +256,8 @@ def training_texts(n: int = 6000, seed: int = 11) -> Iterator[str]:
                 opening, closing = rng.choice([("“", "”"), ("«", "»"), ("(", ")"), ("「", "」"), ("¿", ""), ("", "")])
                 parts += [f"{opening}{word(a).capitalize()} {word(a)}{rng.choice('.!?。')}{closing}", rng.choice([" ", " ", "", " 12 ", " £ ", " ±4 ", " 3) "])]
             sentence = " ".join(body) + rng.choice([".", ".", "!", "?", "...", "。", "।", "؟", "", "!”", ".)", "?»"])
+            if rng.random() < 0.1:
+                sentence = sentence.upper()
             parts += [sentence, rng.choice([" ", " ", " ", "", "  ", "\n", "\n\n", f" {rng.randint(1, 9)}. "])]
         text = "".join(parts)
         yield re.sub(r"[^\w\s]", "", text) if i % 4 == 0 else text
