@@ -164,6 +164,10 @@ def places(text: str) -> list[tuple[int, tuple[str, ...], bool]]:
         if term == "." and not closed:
             word = WORD_BEFORE.search(text, max(0, s - 40), s)[0]
             low = word.lower().lstrip("¿¡-–'‘’")
+            if "." in low and low not in LEADING_ABBREVIATIONS and low not in CLOSING_ABBREVIATIONS and not re.search(r"[\d_/]", low):
+                head, _, tail = low.rpartition(".")  # a blank is missing before an abbreviation
+                if len(head) > 2 and (tail in LEADING_ABBREVIATIONS or tail in CLOSING_ABBREVIATIONS):
+                    low, word = tail, word[-len(tail) :]
             number_only = word.isdigit() and not text[last : s - len(word)].strip()
             if word.isdigit():
                 cue = CUE_BEFORE.search(text, max(0, s - 20), s)
