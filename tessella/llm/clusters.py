@@ -272,9 +272,9 @@ def tight_groups(docs: DataFrame, members: DataFrame, group: float = GROUP, apar
 
         rows = settled(_scan(docs, chosen, gather, "cluster long, doc_id string, kind string, u array<double>"))
         broken = _broken(rows, group, apart)
-        fine = rows.where("kind <> 'out'").join(F.broadcast(broken) if len(names) <= BLOCK else broken, "cluster", "left_anti")
+        fine = rows.where("kind <> 'out'").join(F.broadcast(broken), "cluster", "left_anti")  # at most a block of clusters
         keys = fine.groupBy("cluster").agg(F.min("doc_id").alias("group_key"))
-        grouped = fine.join(keys, "cluster").select("doc_id", "group_key")
+        grouped = fine.join(F.broadcast(keys), "cluster").select("doc_id", "group_key")
         found = grouped if found is None else found.unionByName(grouped)
     if found is None:
         return spark.createDataFrame([], "doc_id string, group_key string")
@@ -285,6 +285,7 @@ def _broken(rows: DataFrame, group: float, apart: float) -> DataFrame:
     """Clusters with two members too far apart, or a member too close to another vector.
 
     Both are comparisons of one side's rows with another's, cut into blocks of ``BLOCK // 2`` rows by a hash and paired block by block.
+    ``rows`` is of at most ``BLOCK`` clusters, so tables with a row per cluster are small.
     """
     size = BLOCK // 2
     tally = rows.groupBy("cluster").agg(
@@ -294,7 +295,7 @@ def _broken(rows: DataFrame, group: float, apart: float) -> DataFrame:
         F.count_if(F.col("kind") == "far").alias("fars"),
         F.count_if(F.col("kind") == "out").alias("outs"),
     )
-    known = rows.join(tally, "cluster").withColumn("h", F.abs(F.hash("doc_id", F.lit(7))))
+    known = rows.join(F.broadcast(tally), "cluster").withColumn("h", F.abs(F.hash("doc_id", F.lit(7))))
 
     def side(df: DataFrame, task: str, which: str, own: str, other: str) -> DataFrame:
         mine, theirs = F.pmod("h", F.col(own)), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
