@@ -109,6 +109,13 @@ def in_mode(instances: DataFrame, mode: str = "instances") -> DataFrame:
     raise ValueError(f"unknown graph mode {mode}")
 
 
+def unknown_classes(triples: DataFrame) -> DataFrame:
+    """Classes of the engine's name space that triples use but the class tree lacks, with how often: a warning, no failure."""
+    known = sorted({NS + c for edge in dims.CLASS_EDGES for c in edge})
+    used = triples.where((F.col("p") == dims.RDF_TYPE) & F.col("o").startswith(NS) & ~F.col("o").isin(known))
+    return used.groupBy(F.col("o").alias("cls")).agg(F.count("*").alias("n"))
+
+
 def without(triples: DataFrame, patterns: DataFrame) -> DataFrame:
     """Triples whose subject and property are not among (s, p) of ``patterns``."""
     return triples.join(patterns.select("s", "p").distinct(), ["s", "p"], "left_anti")

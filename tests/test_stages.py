@@ -147,6 +147,10 @@ def test_triples(spark):
         triples.in_mode(t, "other")
     a = triples.of_activations(acts, frags)
     assert a.where(F.col("p").endswith("hasPrimaryActivation")).count() == 2 and a.where(F.col("p").endswith("hasSecondaryActivation")).count() == 0
+    assert triples.unknown_classes(a).count() == 0
+    odd = a.where(F.col("p") == dims.RDF_TYPE).withColumn("o", F.lit(dims.BASE + "Nothing"))
+    assert rows(triples.unknown_classes(odd)) == [(dims.BASE + "Nothing", 3)]
+    assert triples.upserted(a, odd).where(F.col("o").endswith("Nothing")).count() == 3
     assert triples.without(a, a.limit(1)).count() < a.count()
     assert triples.of_vectors(profile.profile_vectors(acts, frags)).count() == 3 * 11
 
