@@ -47,6 +47,7 @@ BRACKETS = "([（【{"
 REACH = 400
 
 PLACE = re.compile(rf"\n[ \t\r 　]*\n\s*|(?<=[฀-๿])[ \t ]+(?=\S)|[{re.escape(END_MARKS)}]+|(?<=[Ͱ-Ͽἀ-῿]);|[{re.escape(''.join(PAIRS))}]|[{re.escape(''.join(sorted(set(''.join(PAIRS.values())))))}]|\"|�")
+LOST_QUOTATION = re.compile(rf"�(?=\w)[^\n]{{0,150}}?[{re.escape(END_MARKS)}]�(?=[\s,.;:]|$)")
 WORD_BEFORE = re.compile(r"[^\s“”„«»(\[（「『\"/]*$")
 CUE_BEFORE = re.compile(r"(\w+)[  ]+\d+$")
 NEXT_WORD = re.compile(r"[\w’'-]+")
@@ -76,6 +77,8 @@ def next_kind(text: str, at: int) -> str:
         return "E"
     if text[at] in "-–•*" and "\n" in text[start:at] and at + 1 < n and text[at + 1] in " \t":
         return "oU"  # a list's item
+    if text[at] == "�" and at > start:
+        return "U"  # a lost letter after a blank: a capital, where a sentence may begin
     opened = ""
     while at < n and (text[at] in "¿¡\"'‘“„«‹「『([（【{–—-•*_#" or text[at] == "�"):
         if text[at] != "-":
@@ -97,7 +100,7 @@ def places(text: str) -> list[tuple[int, tuple[str, ...], bool]]:
     """All places where a unit could end: the end offset, what is observed there, and whether only a
     number stands between it and the place before (then the tags of both are bound to each other)."""
     out: list[tuple[int, tuple[str, ...], bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # closing marks awaited, where opened, whether at a unit's start
+    stack: list[tuple[str, int, bool, int]] = []  # closing marks awaited, where opened, whether at a unit's start, the only place to close or -1
     skip_to, last = 0, 0
     n = len(text)
     for m in PLACE.finditer(text):
@@ -118,17 +121,20 @@ def places(text: str) -> list[tuple[int, tuple[str, ...], bool]]:
                 out.append((s, ("thai", "next=" + next_kind(text, e)), False))
                 last = s
             continue
-        if stack and mark in stack[-1][0]:
+        if stack and mark in stack[-1][0] and stack[-1][3] in (-1, s):
             stack.pop()
             continue
         if mark in PAIRS or mark in '"�':
             wanted = PAIRS.get(mark, mark)
-            if mark == "�" and not (e < n and text[e].isupper() and (s == 0 or text[s - 1].isspace())):
-                continue  # a lost letter, not a lost quotation mark
+            if mark == "�":  # a lost letter, unless a quotation with an end mark follows whose closing mark is lost, too
+                shut = LOST_QUOTATION.match(text, s) if s == 0 or text[s - 1].isspace() else None
+                if shut:
+                    stack.append((mark, s, not text[last:s].strip(), shut.end() - 1))
+                continue
             far = text.find("\n\n", e, e + REACH)
             limit = far if far >= 0 else min(n, e + REACH)
             if any(text.find(c, e, limit) >= 0 for c in wanted):
-                stack.append((wanted, s, not text[last:s].strip()))
+                stack.append((wanted, s, not text[last:s].strip(), -1))
             continue
         if mark not in END_MARKS and mark != ";":
             continue
@@ -138,8 +144,8 @@ def places(text: str) -> list[tuple[int, tuple[str, ...], bool]]:
             at = e
             while at < n and text[at] in "  " and at + 1 < n and text[at + 1] in "»›":
                 at += 1
-            if at < n and text[at] in stack[-1][0]:
-                _, where, opened_first = stack.pop()
+            if at < n and text[at] in stack[-1][0] and stack[-1][3] in (-1, at):
+                _, where, opened_first, _ = stack.pop()
                 closed = "b" if text[where] in BRACKETS else "q"
                 e = at + 1
             else:
@@ -252,7 +258,7 @@ def training_texts(n: int = 6000, seed: int = 11) -> Iterator[str]:
                     [
                         rng.choice(lead) + ".", rng.choice(lead).capitalize() + ".", rng.choice(may) + ".", f"{rng.randint(1, 99)}.", f"am {rng.randint(1, 31)}.",
                         f"{opening}{word(a).capitalize()}{end} {word(a).capitalize()}{end}{closing}", f"{opening}{word(a)}{end}{closing}", rng.choice("ABJ") + ".", rng.choice("bkt") + ".",
-                        "fi_1.pdf", f"{rng.randint(1, 9)}.{rng.randint(0, 99)}", word(a) + "...", word(a) + end, f"{opening}{word(a)} {word(a)}{closing}", word(a) + ",", "i.e.",
+                        f"�{word(a)}{end}�, �{word(a)}{end}�", f"{word(a)}{end}�, {word(a)}", "fi_1.pdf", f"{rng.randint(1, 9)}.{rng.randint(0, 99)}", word(a) + "...", word(a) + end, f"{opening}{word(a)} {word(a)}{closing}", word(a) + ",", "i.e.",
                     ]
                 )
                 body.insert(rng.randint(0, len(body)), piece)
@@ -350,7 +356,7 @@ def corpus_table(df: DataFrame, text_col: str = "text"):
 
 
 def with_unit_ends(df: DataFrame, text_col: str = "text", sent=None) -> DataFrame:
-    """``df`` with a column ``ends``: the offset after the last visible character of each unit of its text."""
+    """``df`` with a column ``ends`` (in place of one of that name): the offset after the last visible character of each unit of its text."""
     weights = trained()
 
     def tag(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,6 +364,7 @@ def with_unit_ends(df: DataFrame, text_col: str = "text", sent=None) -> DataFram
         for batch in batches:
             yield batch.assign(ends=[unit_ends_as_stored(t, weights, table) for t in batch[text_col]])
 
+    df = df.drop("ends")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", ends array<int>"
     return df.mapInPandas(tag, schema)
 
