@@ -31,8 +31,8 @@ def token_count(text: str | None, path: str = VOCABULARY) -> int:
 
 
 def with_tokens(df: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``df`` without its text, with its size in column ``tokens``; null and empty texts have none."""
-    keep = [c for c in df.columns if c != text_col]
+    """``df`` without its text, with its size in column ``tokens`` (in place of one of that name); null and empty texts have none."""
+    keep = [c for c in df.columns if c not in (text_col, "tokens")]
     rows = df.select(*keep, F.col(text_col).alias("_text"))
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

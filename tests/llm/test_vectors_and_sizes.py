@@ -149,7 +149,7 @@ def test_footrule(spark):
 
 
 def test_tokens(spark):
-    df = spark.createDataFrame([(1, "um texto de exemplo", "x"), (2, None, "x"), (3, "", "x")], "id long, text string, tokens2 string")
+    df = spark.createDataFrame([(1, "um texto de exemplo", "x"), (2, None, "x"), (3, "", "x")], "id long, text string, tokens string")
     got = {r["id"]: r["tokens"] for r in tokens.with_tokens(df).collect()}
     assert got == {1: tokens.token_count("um texto de exemplo"), 2: 0, 3: 0} and got[1] >= 4
 
