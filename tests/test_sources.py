@@ -28,7 +28,7 @@ def test_json(spark, tmp_path):
     assert rows(files.payload(df, "p"), "doc_id", "k", "i", "role", "confidence", "relevance") == [("d", 0, 0, "Keyword", 0.5, None), ("d", 0, 1, "x", None, 1.0)]
 
 
-TTL = '''@prefix onto: <https://techcoop.com.br/ontomi#> . @prefix x: <urn:x#> .
+TTL = '''@prefix onto: <urn:tessella:profile#> . @prefix x: <urn:x#> .
 # a comment
 x:vec-doc a onto:MIProfileVector ; onto:miVector "10.00,20.00,30.00,40.00,0.00,0.00,0.00,0.00"@pt , "z" ; onto:n 3 , 4.5 , 1e3 ; .
 x:vec-frag-001 a onto:MIProfileVector ; onto:miVector "1,1,1,1,1,1,1,1" .
@@ -41,8 +41,8 @@ text""" , "tab\\t\\u00e9" .
 
 def test_turtle(spark, tmp_path):
     found = turtle.Document(TTL).triples()
-    assert ("urn:x#s", "https://techcoop.com.br/ontomi#t", 'long "quoted"\ntext', "literal", None, None) in found
-    assert ("urn:x#s", "https://techcoop.com.br/ontomi#t", "tab\té", "literal", None, None) in found
+    assert ("urn:x#s", "urn:tessella:profile#t", 'long "quoted"\ntext', "literal", None, None) in found
+    assert ("urn:x#s", "urn:tessella:profile#t", "tab\té", "literal", None, None) in found
     assert sum(t[1].endswith("#first") for t in found) == 2 and any(t[2] == "4.5" and t[4].endswith("decimal") for t in found)
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "a.ttl").write_text(TTL.replace(' , "z"', ""), encoding="utf-8")
