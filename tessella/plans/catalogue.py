@@ -290,7 +290,7 @@ def q_forced_mi(spark, d):
 
 
 @query(
-    f"""WITH {FRAGMENTS} SELECT doc_id, k, CASE WHEN '{{h}}' = 'en' THEN 'en' WHEN lower(trim(lang)) IN ('pt', 'en', 'es') THEN lower(trim(lang)) ELSE 'pt' END AS lang FROM fragments"""
+    f"""WITH {FRAGMENTS} SELECT doc_id, k, CASE WHEN lower(trim(lang)) IN ('pt', 'en', 'es') THEN lower(trim(lang)) ELSE 'pt' END AS lang FROM fragments"""
 )
 def q_language_whitelist(spark, d):
     return ingest.limited_language(_fragments(spark, d), None).select("doc_id", "k", "lang")
