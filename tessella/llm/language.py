@@ -35,6 +35,8 @@ BITS = 16
 BUCKETS = 1 << BITS
 WIDTH = 24
 LETTER = re.compile(r"[^\W\d_]")
+THREE = re.compile(r"(?:[^\W\d_][\W\d_]*){3}")
+SIX = re.compile(r"(?:[^\W\d_][\W\d_]*){6}")
 FOLD = re.compile(r"[\W\d_]+")
 #: Keys, links and the like: no words of any language.
 JUNK = re.compile(r"\S*[A-Za-z0-9_/=+-]{28,}\S*|\b(?:https?://|www\.)\S+")
@@ -98,9 +100,13 @@ SCRIPTS = [
 ]
 
 
+#: Any letter of a script other than Latin.
+BEYOND_LATIN = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2c00-\uffdc]")
+
+
 def script_of(text: str) -> str:
-    """The script of most letters; any share of kana above a tenth makes Han Japanese."""
-    if text.isascii():
+    """The script of most letters, Latin where there are none of another; any share of kana above a tenth makes Han Japanese."""
+    if not BEYOND_LATIN.search(text):
         return "Latn"
     counts = {name: len(pattern.findall(text)) for name, pattern in SCRIPTS}
     if counts["Kana"] and counts["Kana"] >= 0.1 * counts["Hani"]:
@@ -227,7 +233,7 @@ def fit_on(df: DataFrame, text_col: str = "text", lang_col: str = "lang", train_
     for t, lang in zip(sample["text"], sample["lang"], strict=True):
         at = 0
         for end in sentences.unit_ends(t, weights):
-            if len(LETTER.findall(t[at:end])) >= 6:
+            if SIX.search(t, at, end):
                 texts.append(t[at:end]), labels.append(lang)
             at = end
     counts = pd.Series(labels).value_counts() if labels else pd.Series(dtype=int)
@@ -247,13 +253,12 @@ def segments_of(fixed: str, ends: list[int], scores: np.ndarray, model: Classifi
     labels: list[tuple[str | None, float]] = []
     at = 0
     for i, end in enumerate(ends):
-        letters = len(LETTER.findall(fixed[at:end]))
         best = int(scores[i].argmax())
         sure = float(scores[i, best])
-        labels.append((model.languages[best], sure) if letters >= 3 and sure >= model.reject else (None, sure))
+        labels.append((model.languages[best], sure) if sure >= model.reject and THREE.search(fixed, at, end) else (None, sure))
         at = end
     if not any(lang for lang, _ in labels):  # all rejected: the text as a whole, by its units' joint probability
-        worded = [i for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if len(LETTER.findall(fixed[a:b])) >= 3]
+        worded = [i for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if THREE.search(fixed, a, b)]
         if not worded:
             return []
         joint = np.log(scores[worded] + 1e-9).mean(axis=0)
