@@ -163,9 +163,10 @@ def edit_gains(text: str, edits: list[tuple[int, int, str]], table: np.ndarray)
     return scores[0::2] - scores[1::2], low
 
 
-def swap_gain(text: str, swap: Swap, table: np.ndarray) -> tuple[float, list[tuple[int, int, str]]]:
+def swap_gain(text: str, swap: Swap, table: np.ndarray, common: bool = False) -> tuple[float, list[tuple[int, int, str]]]:
     """The gain by one swap and the edits worth making. A valid UTF-8 sequence is evidence by
-    its form and needs little gain of its own; other letters must be implausible as they stand."""
+    its form and needs little gain of its own; other letters must be implausible as they stand, unless ``common``: damage may then be
+    frequent, so that what surrounds an edit may be damaged by the same swap."""
     edits = swap.edits(text)
     if not edits:
         return 0.0, []
@@ -175,7 +176,13 @@ def swap_gain(text: str, swap: Swap, table: np.ndarray) -> tuple[float, list[tup
         kept = gains > -12.0
     else:
         lowers = [new[0].islower() and text[a].isupper() and SENTENCE_START.search(text, max(0, a - 6), a) is not None for a, _, new in edits]
-        kept = (gains > 1.0) & (low < ODD) & ~np.array(lowers)
+        if common:
+            around = text.translate(swap.translation)  # letter by letter, so places stay
+            scores = table[charlm.trigram_cells(charlm.code_points(f" {around} "))] - table[charlm.trigram_cells(charlm.code_points(f" {text} "))]
+            both = np.array([scores[max(0, a - 1) : b + 1].sum() for a, b, _ in edits])
+            close = (both[1:] > 1.0) & (both[:-1] > 1.0) & np.array([edits[i + 1][0] - edits[i][1] < 40 for i in range(len(edits) - 1)], dtype=bool)
+            gains = np.where(np.append(close, False) | np.append(False, close), np.maximum(gains, both), gains)  # a lone edit has sound surroundings
+        kept = (gains > 1.0) & (common | (low < ODD)) & ~np.array(lowers)
         sure = kept.copy()  # damage comes in stretches: what lies between two sure runs is damaged too
         for i in range(len(edits)):
             before = i > 0 and sure[i - 1] and edits[i][0] - edits[i - 1][1] < 40
@@ -253,6 +260,61 @@ def possible_swaps(text: str, table: np.ndarray) -> list[int]:
     return sorted(out)
 
 
+class LetterGains:
+    """What each letter swap could add to a text at most, however common its trigrams are: the gains of a trigram are reckoned once."""
+
+    def __init__(self, table: np.ndarray, most: int = 1 << 17):
+        self.table, self.most = table, most
+        self.ids = [i for i, s in enumerate(swaps()) if s.letters_swap]
+        self.symbols = re.compile("[" + "".join(sorted({re.escape(c) for i in self.ids for c in swaps()[i].table})) + "]")
+        self.known: dict[str, np.ndarray] = {}
+
+    def hopeful(self, text: str) -> list[int]:
+        """The letter swaps by which the trigrams around their symbols could gain enough."""
+        padded = f" {text} "
+        grams = [padded[i : i + 3] for m in self.symbols.finditer(padded) for i in range(max(0, m.start() - 2), m.start() + 1) if i + 3 <= len(padded)]
+        if not grams:
+            return []
+        if len(self.known) > self.most:
+            self.known.clear()
+        if new := sorted({g for g in grams if g not in self.known}):
+            codes = charlm.code_points("".join("".join(new).translate(t) for t in ({}, *(swaps()[i].translation for i in self.ids))))
+            scores = self.table[charlm.trigram_cells(codes)[::3]].reshape(len(self.ids) + 1, -1)
+            self.known |= dict(zip(new, np.maximum(scores[1:] - scores[0], 0.0).T, strict=True))
+        most = np.sum([self.known[g] for g in grams], axis=0)
+        return [i for i, m in zip(self.ids, most, strict=True) if m > 1.0]
+
+    def best(self, text: str) -> float:
+        """The greatest gain by a letter swap, common trigrams too."""
+        return max((swap_gain(text, swaps()[i], self.table, common=True)[0] for i in self.hopeful(text)), default=0.0)
+
+
+def sound_table(rows: DataFrame, text_col: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Trigram scores that neither copies nor frequent damage raise.
+
+    Each distinct text counts once, and texts that a letter swap makes more plausible are taken out of the counts; what is
+    left judges them anew. Damage that fewer texts hold than their sound letters is so taken out, however frequent it is.
+    """
+    texts = settled(rows.select(F.col(text_col).alias("t")).where(F.col("t") != "").distinct())
+    counts = charlm.corpus_counts(texts, "t")
+
+    def gaining(df: DataFrame, table: np.ndarray, least: float) -> DataFrame:
+        sent = df.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            gains = LetterGains(sent.value)
+            for b in batches:
+                yield b[np.array([not t.isascii() and LOST not in t and gains.best(t) > least for t in b["t"]], dtype=bool)]
+
+        return df.mapInPandas(run, "t string")
+
+    table = charlm.log_scores(counts)
+    near = settled(gaining(texts, table, 0.0))
+    for _ in range(rounds):
+        table = charlm.log_scores(np.maximum(counts - charlm.corpus_counts(gaining(near, table, LEAST_GAIN), "t"), 0))  # trigrams across two texts may differ
+    return table
+
+
 def candidate_swaps(text: str, table: np.ndarray) -> list[tuple[int, float]]:
     """The swaps that could explain a text, with their gains."""
     found = [(i, swap_gain(text, swaps()[i], table)[0]) for i in possible_swaps(text, table)]
@@ -272,12 +334,12 @@ def damaged_texts(df: DataFrame, keys: list[str], text_col: str = "text", source
     Result: the key columns, ``swap`` (the pairs undone, in turn), ``fixed`` (the whole restored text, null if
     characters are lost). Rows that repeat a key count once: the smallest stored text stands.
     ``source_col`` names the column by which swaps are learnt apart; without it all rows are one source.
-    The character statistics and the expectations are sums over all rows; what comes to the driver
+    The character statistics are sums over all distinct texts, those that a letter swap betters left out; the expectations are sums over all rows. What comes to the driver
     is one fixed-size table, and per source and swap a number and at most 128 letters.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col else F.lit("")
     rows = df.select(*keys, F.col(text_col).alias("_text"), source.alias("_source")).where(F.col("_text").isNotNull())
-    table = charlm.log_scores(charlm.corpus_counts(rows, "_text"))
+    table = sound_table(rows, "_text")
     sent = df.sparkSession.sparkContext.broadcast(table)
     n = len(swaps())
 

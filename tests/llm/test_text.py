@@ -148,6 +148,22 @@ def test_encoding_round_trip(spark):
     assert encoding.damaged_texts(df.limit(0), ["doc_id", "k"]).count() == 0
 
 
+@pytest.mark.parametrize("true,wrong", [("cp1252", "cp1250"), ("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("koi8-r", "cp1251")])
+@pytest.mark.parametrize("copies", [False, True])
+def test_frequent_damage(spark, true, wrong, copies):
+    """A third of the rows damaged alike, by distinct texts or by copies of one."""
+    rng = random.Random(5)
+    words = "as crianças não são à mão ação lições corações põem João irmãs manhã então está você três árvore música pátio lá".split()
+    if true == "koi8-r":
+        words = "дети поют песни на площадке снова считают шаги учитель раздаёт листья звук улицы сегодня вместе".split()
+    letters = encoding.page_letters(wrong)
+    sound = [" ".join(rng.choices(words, k=20)) + "." for _ in range(300)]
+    garbled = {i: "".join(letters[b] for b in sound[0 if copies else i].encode(true)) for i in range(100)}
+    df = frame(spark, [garbled.get(i, t) for i, t in enumerate(sound)])
+    got = {r["k"]: r["fixed"] for r in encoding.damaged_texts(df, ["doc_id", "k"]).collect()}
+    assert got == {i: sound[0 if copies else i] for i in garbled}
+
+
 def test_endings():
     whole = ["Acabou.", "Acabou.\n\nAna Lima, 2011", "Acabou.\n\n* * *", "Acabou. 12", "Acabou.\n(Lima, p. 3)", "Acabou.\n- cola\n- papel", "“Vamos!”", "(Ver a ficha 3.)", "เด็กๆวาดภาพ", None, ""]
     cut = ["Acabou. Depois os meni", "Acabou. Depois [...]", "Acabou. Depois (continua)", "A guia pergunta: “Quem começa?", "Acabou. O Sr.", "Acabou. E então <b", "Acabou. E en&nbs", "最后比较结果！老师问", "Acabou. E depois\x00"]
