@@ -4,7 +4,8 @@ Vectors are gathered into fine cells of their direction, so that any number of n
 with a weight. Cells whose mean directions are close are linked: a k-d tree over a bounded sample
 of cells cuts space into parts, every cell goes to the parts that its surroundings touch, and the
 part that holds a pair's midpoint finds the pair. Markov clustering then alternates squaring of
-the column-stochastic flow matrix (a distributed sparse join), inflation and pruning of small entries.
+the column-stochastic flow matrix (a distributed sparse join), inflation and pruning of small entries. All links
+within the threshold flow; a cap on a column's flows is for callers that check the clusters themselves.
 Columns that have reached an attractor leave the computation. A column's strongest flow names its cluster.
 """
 
@@ -69,8 +70,8 @@ def leaves_touched(tree: tuple[np.ndarray, np.ndarray], x: np.ndarray, reach: fl
     return rows, nodes
 
 
-def links_of(cells: DataFrame, similar: float = SIMILAR, strongest: int = 8, sample: int = 40000, leaf_size: int = 2000) -> DataFrame:
-    """Flows (src, dst, w) of each cell to itself and its strongest similar cells; a flow's strength is the
+def links_of(cells: DataFrame, similar: float = SIMILAR, strongest: int | None = None, sample: int = 40000, leaf_size: int = 2000) -> DataFrame:
+    """Flows (src, dst, w) of each cell to itself and all similar cells, or the ``strongest`` of them; a flow's strength is the
     target's weight times the similarity beyond the threshold.
 
     The tree is fitted on at most about ``sample`` cells; every cell is searched.
@@ -105,11 +106,12 @@ def links_of(cells: DataFrame, similar: float = SIMILAR, strongest: int = 8, sam
                 mine[rows] = homes == leaf
                 i, j, near = i[mine], j[mine], near[mine]
                 w = weight[j] * (near - similar + (1 - similar)) / (2 - 2 * similar)
-                order = np.lexsort((ids[j], -w, i))
-                i, j, w = i[order], j[order], w[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-                top = rank < strongest
-                found.append(pd.DataFrame({"src": ids[i[top]], "dst": ids[j[top]], "w": w[top]}))
+                if strongest is not None:
+                    order = np.lexsort((ids[j], -w, i))
+                    i, j, w = i[order], j[order], w[order]
+                    top = np.arange(len(i)) - np.searchsorted(i, i, side="left") < strongest
+                    i, j, w = i[top], j[top], w[top]
+                found.append(pd.DataFrame({"src": ids[i], "dst": ids[j], "w": w}))
         return pd.concat(found) if found else pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "w": np.zeros(0)})
 
     near = cells.mapInPandas(send, "cell long, n long, m array<double>, leaf long").groupBy("leaf").applyInPandas(pairs, "src long, dst long, w double")
@@ -118,15 +120,22 @@ def links_of(cells: DataFrame, similar: float = SIMILAR, strongest: int = 8, sam
     return stochastic(every.withColumn("w", favoured), strongest).drop("k")
 
 
-def stochastic(flows: DataFrame, strongest: int, least: float = 0.0) -> DataFrame:
-    """The strongest flows of each column, those of at least a share of all, scaled to sum to one, and how many they are (``k``)."""
+def stochastic(flows: DataFrame, strongest: int | None = None, least: float = 0.0) -> DataFrame:
+    """The flows of each column scaled to sum to one, and how many they are (``k``).
+
+    Kept are those of at least ``least`` of the column's strongest (so never fewer than those of that share of the whole, and
+    all of a column that many equal flows share); with ``strongest`` only so many, of at least that share of the whole.
+    """
     per = Window.partitionBy("src")
+    if strongest is None:
+        kept = flows.withColumn("most", F.max("w").over(per)).where(F.col("w") >= least * F.col("most"))
+        return kept.select("src", "dst", (F.col("w") / F.sum("w").over(per)).alias("w"), F.count("*").over(per).alias("k"))
     ranked = flows.withColumn("r", F.row_number().over(per.orderBy(F.desc("w"), "dst"))).where(F.col("r") <= strongest)
     kept = ranked.withColumn("w", F.col("w") / F.sum("w").over(per)).where((F.col("r") == 1) | (F.col("w") >= least))
     return kept.select("src", "dst", (F.col("w") / F.sum("w").over(per)).alias("w"), F.count("*").over(per).alias("k"))
 
 
-def markov_clusters(links: DataFrame, inflation: float = 2.0, least: float = 0.01, strongest: int = 8, rounds: int = 12) -> DataFrame:
+def markov_clusters(links: DataFrame, inflation: float = 2.0, least: float = 0.01, strongest: int | None = None, rounds: int = 12) -> DataFrame:
     """(cell, cluster, flow): the attractor of each column of the limit and the flow that reaches it.
 
     A column with one flow left is as its target's column from then on, so it leaves the squaring as a pointer; pointers are
@@ -170,8 +179,8 @@ def followed(pointers: DataFrame, rounds: int = 20) -> DataFrame:
     return at
 
 
-def clustered(df: DataFrame, id_col: str = "doc_id", vector_col: str = "vector", width: float = CELL, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """Markov clusters of a table's valid vectors: (docs, members).
+def clustered(df: DataFrame, id_col: str = "doc_id", vector_col: str = "vector", width: float = CELL, similar: float = SIMILAR, strongest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Markov clusters of a table's valid vectors: (docs, members). With ``strongest`` a column keeps only so many flows.
 
     ``docs``: (doc_id, u, cell), one row for each id with a valid vector; ``members``: (cell, cluster, flow, n, m) for every cell. Every valid vector is in
     exactly one cluster, one without similar ones in a cluster of its own. Invalid vectors (null, not ``DIMS`` finite
@@ -179,7 +188,7 @@ def clustered(df: DataFrame, id_col: str = "doc_id", vector_col: str = "vector",
     """
     docs = settled(vectors.directions(df, id_col, vector_col).withColumn("cell", cell_of(F.col("u"), width)))
     cells = settled(cells_of(docs, width))
-    clusters = markov_clusters(links_of(cells, similar))
+    clusters = markov_clusters(links_of(cells, similar, strongest), strongest=strongest)
     return docs, settled(clusters.join(cells, "cell"))
 
 

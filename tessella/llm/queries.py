@@ -27,7 +27,7 @@ def _limits(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, members = clusters.clustered(table(spark, sf_dir, "loaded_doc"))
+    docs, members = clusters.clustered(table(spark, sf_dir, "loaded_doc"), strongest=8)  # candidates only; they are checked exactly
     return clusters.tight_groups(docs, members)
 
 

@@ -95,6 +95,29 @@ def test_markov_clusters_split_a_bridge(spark):
     assert {tuple(np.flatnonzero(m[:, j] > 0.01) < 5) for j in range(5)} <= {(True,) * n for n in range(1, 6)}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_dense_clusters_as_unpruned_matrix(spark, seed):
+    """Where cells have dozens of similar ones, the flows are those of the whole threshold graph and the clusters those of plain numpy."""
+    rng = np.random.default_rng(seed)
+    points = np.concatenate([np.abs(c + rng.normal(0, 0.02, (120, 8))) for c in (np.eye(8) + 0.3)[:3]])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    n = len(points)
+    cells = spark.createDataFrame([(i, 1, p.tolist()) for i, p in enumerate(points)], "cell long, n long, m array<double>")
+    links = clusters.links_of(cells).collect()
+    linked = points @ points.T >= clusters.SIMILAR
+    assert np.percentile(linked.sum(axis=0), 75) > 20
+    assert {(r["src"], r["dst"]) for r in links} == set(zip(*map(np.ndarray.tolist, np.nonzero(linked | np.eye(n, dtype=bool)))))
+    m = np.zeros((n, n))
+    for r in links:
+        m[r["dst"], r["src"]] = r["w"]
+    for _ in range(20):
+        m = np.power(m @ m, 2)
+        m /= m.sum(axis=0)
+    end = m.argmax(axis=0)
+    got = {r["cell"]: r["cluster"] for r in clusters.markov_clusters(clusters.links_of(cells)).collect()}
+    assert np.mean([got[i] == end[i] for i in range(n)]) > 0.98
+
+
 def test_pointers_end(spark):
     at = [(1, 2), (2, 3), (3, 4), (4, 4), (5, 6), (6, 5), (7, 6)]
     df = spark.createDataFrame([(a, b, 1.0) for a, b in at], "src long, dst long, w double")
