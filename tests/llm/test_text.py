@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -190,3 +191,50 @@ def test_truncation_table(spark):
     assert {i for i, c in flags.items() if c} == set(range(600, 660)) and len(flags) == len(data)
     rates = {r["source"]: (r["texts"], r["cut_texts"]) for r in truncation.truncation_rates(truncation.truncated_texts(df, "id")).collect()}
     assert rates == {"a": (660, 60), "b": (5, 0), "": (1, 0)}
+
+
+@pytest.mark.parametrize("n,trials,share", [(0, 5, 0.3), (4, 4, 0.05), (3, 20, 0.1), (60, 100, 0.5), (900, 1000, 0.85), (5, 4, 0.5), (7000, 200000, 0.03)])
+def test_binomial_tail(n, trials, share):
+    logs = [math.lgamma(trials + 1) - math.lgamma(i + 1) - math.lgamma(trials - i + 1) + i * math.log(share) + (trials - i) * math.log(1 - share) for i in range(n, trials + 1)]
+    assert truncation.binomial_tail(n, trials, share) == pytest.approx(math.fsum(map(math.exp, logs)), rel=1e-6, abs=1e-12)
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_slopes_are_no_limits(spark, times):
+    """A density that rises and falls has no limit at any size; one length with many more ends has."""
+    smooth = {n: times * max(1, int(40 * math.exp(-(((n - 300) / 60) ** 2)))) for n in range(100, 700)}
+    counted = spark.createDataFrame(list(smooth.items()), "length int, c int")
+    rows_of = lambda c: c.select(F.lit("a").alias("source"), F.lit("chars").alias("measure"), "length", F.explode(F.sequence(F.lit(1), "c")).alias("i")).drop("i")
+    assert truncation.significant_lengths(rows_of(counted)).count() == 0
+    spiked = counted.withColumn("c", F.when(F.col("length").isin(310, 312), F.col("c") * 5).otherwise(F.col("c")))
+    assert rows(truncation.significant_lengths(rows_of(spiked)), "length") == [(310,), (312,)]
+
+
+def limited(seed=3, n=900):
+    """Whole texts of all lengths, some with a habitual ellipsis, and texts cut at 300 characters, half of them with an ellipsis."""
+    rng = random.Random(seed)
+    some = lambda k: " ".join(rng.choice(["Uma frase curta aqui.", "Os meninos cantam na praça todos os dias.", "A turma ouve.", "Depois todos contam até vinte e cinco."]) for _ in range(k))
+    data = [(i, some(rng.randint(2, 14)), "a") for i in range(n)]
+    data += [(n + i, some(rng.randint(2, 14)) + " E assim continua a nossa roda...", "a") for i in range(40)]
+    for i in range(80):
+        t = some(30)
+        while not t[:300].rstrip()[-1].isalpha() or t[295:300].find(".") >= 0:
+            t = "Ora " + t
+        data.append((n + 40 + i, t[:300] + "..." if i % 2 else t[:300], "a"))
+    return data
+
+
+@pytest.mark.parametrize("kind", ["copied", "lengthened"])
+def test_truncation_does_not_depend_on_size(spark, kind):
+    """Ten times the rows, copied or with a sentence of varied length put before those that were not cut, give the same flags."""
+    data = limited()
+    flags = lambda d: {r["id"]: r["cut"] for r in truncation.truncated_texts(spark.createDataFrame(d, "id long, text string, source string"), "id").collect()}
+    once = flags(data)
+    assert {i for i, c in once.items() if c} == set(range(940, 1020))
+    rng = random.Random(8)
+    more = list(data)
+    for j in range(1, 10):
+        for i, t, source in data:
+            varied = "Uma " + "a" * rng.randint(1, 90) + ". " + t if i < 940 else "".join(rng.choices("BCDFG", k=3)) + t[3:]  # cut texts keep their length
+            more.append((i + 10000 * j, t if kind == "copied" else varied, source))
+    assert {i: c for i, c in flags(more).items()} == {i + 10000 * j: c for i, c in once.items() for j in range(10)}
