@@ -68,6 +68,20 @@ def test_groups_as_brute_force(spark, seed):
     assert told.agg(F.sum("size")).first()[0] == len(data) and told.where("typical_1 IS NULL").count() == 0
 
 
+def test_groups_in_tiny_batches(spark):
+    """Rows that come one at a time, in many partitions, some of them empty, give the same groups."""
+    data, groups = planted(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        docs, members = clusters.clustered(loaded(spark, data).repartition(7).unionByName(loaded(spark, data).limit(0)))
+        got = {}
+        for r in clusters.tight_groups(docs, members).collect():
+            got.setdefault(r["group_key"], set()).add(r["doc_id"])
+        assert got == groups
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_groups_of_empty_and_equal_tables(spark):
     docs, members = clusters.clustered(loaded(spark, [("a", None)]))
     assert clusters.tight_groups(docs, members).count() == 0
@@ -86,9 +100,9 @@ def test_markov_clusters_split_a_bridge(spark):
     for _ in range(12):
         m = np.power(m @ m, 2)
         m /= m.sum(axis=0)
-    links = clusters.stochastic(spark.createDataFrame([(a, b, w) for a, b, w in edges], "src long, dst long, w double"), 20).drop("k")
+    links = clusters.stochastic(spark.createDataFrame([(a, b, w) for a, b, w in edges], "src long, dst long, w double"), 0.0).drop("k")
     got = {}
-    for r in clusters.markov_clusters(links, strongest=20, least=1e-4).collect():
+    for r in clusters.markov_clusters(links, least=1e-4).collect():
         got.setdefault(r["cluster"], set()).add(r["cell"])
     assert all(c in members for c, members in got.items())
     assert sorted(map(sorted, got.values())) == [list(range(1, 6)), list(range(6, 11)), [11]]
@@ -103,18 +117,21 @@ def test_dense_clusters_as_unpruned_matrix(spark, seed):
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     n = len(points)
     cells = spark.createDataFrame([(i, 1, p.tolist()) for i, p in enumerate(points)], "cell long, n long, m array<double>")
-    links = clusters.links_of(cells).collect()
+    links, reach = clusters.links_of(cells)
+    links = links.collect()
     linked = points @ points.T >= clusters.SIMILAR
     assert np.percentile(linked.sum(axis=0), 75) > 20
-    assert {(r["src"], r["dst"]) for r in links} == set(zip(*map(np.ndarray.tolist, np.nonzero(linked | np.eye(n, dtype=bool)))))
+    assert {r["cell"]: r["reach"] for r in reach.collect()} == dict(enumerate(linked.sum(axis=0).tolist()))
+    whole = clusters.links_of(cells, least=0.0)[0]
+    assert {(r["src"], r["dst"]) for r in whole.collect()} == set(zip(*map(np.ndarray.tolist, np.nonzero(linked | np.eye(n, dtype=bool)))))
     m = np.zeros((n, n))
-    for r in links:
+    for r in whole.collect():
         m[r["dst"], r["src"]] = r["w"]
     for _ in range(20):
         m = np.power(m @ m, 2)
         m /= m.sum(axis=0)
     end = m.argmax(axis=0)
-    got = {r["cell"]: r["cluster"] for r in clusters.markov_clusters(clusters.links_of(cells)).collect()}
+    got = {r["cell"]: r["cluster"] for r in clusters.markov_clusters(clusters.links_of(cells)[0]).collect()}
     assert np.mean([got[i] == end[i] for i in range(n)]) > 0.98
 
 
@@ -131,7 +148,9 @@ def test_links_are_all_found(spark):
     m = np.stack(cells["m"].to_numpy())
     s = m @ m.T
     want = {(cells["cell"][i], cells["cell"][j]) for i, j in zip(*np.nonzero(s >= 0.998))}
-    got = clusters.links_of(spark.createDataFrame(cells), strongest=10**6, leaf_size=40).collect()
+    assert {(i, j) for i, j, _ in ((i, j, c) for part in clusters.near_pairs(m, 0.998, 30) for i, j, c in zip(*part))} == {(i, j) for i, j in zip(*np.nonzero(s >= 0.998)) if i != j}
+    frame = spark.createDataFrame(cells)
+    got = clusters.links_of(frame, least=0.0, tree=clusters.tree_for(frame, leaf_size=40))[0].collect()
     assert {(r["src"], r["dst"]) for r in got} == want | {(c, c) for c in cells["cell"]}
 
 
