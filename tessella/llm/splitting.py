@@ -36,20 +36,25 @@ def piece_pattern(limit: int, overlap: int) -> str:
     return rf"\A(?:{choices(limit)})|(?:{choices(limit - overlap)})"
 
 
-def longest(parts: Column) -> Column:
-    """The length of the longest stretch, white space at its ends left out."""
-    lengths = F.transform(parts, lambda p: F.length(F.regexp_replace(p, "^[BP]+|[BP]+$", "")))
-    return F.coalesce(F.array_max(lengths), F.lit(0))
+def boundary_pattern(limit: int, finest: int) -> str:
+    """The extraction with the alternatives up to a boundary's strength alone (1 blank lines, 2 sentence ends too, 3 any white space), overlap left aside.
+    White space before a piece takes no room; what no alternative can cut within the limit falls back to characters, captured as a group."""
+    most = limit - 1
+    blank_line, anywhere = rf".{{0,{most}}}[^BP](?=B*P|[BP]*\z)", rf".{{0,{most}}}[^BP](?=[BP]|\z)"
+    alternatives = {1: blank_line, 2: rf".{{0,{most}}}S|{blank_line}", 3: anywhere}[finest]
+    return rf"[BP]*+(?:{alternatives}|\z|(.{{1,{limit}}}))"
 
 
-def finest_needed(shade: Column, limit: Column) -> Column:
-    """Which boundaries are needed to stay within the limit: 1 blank lines, 2 sentence units, 3 blanks, 4 characters."""
-    return (
-        F.when(longest(F.split(shade, "P+")) <= limit, 1)
-        .when(longest(F.split(shade, "(?<=S)|P+")) <= limit, 2)
-        .when(longest(F.split(shade, "[BP]+")) <= limit, 3)
-        .otherwise(4)
-    )
+def finest_needed(shade: Column, limit: int) -> Column:
+    """Which boundaries the extraction needs to stay within the limit: 1 blank lines, 2 sentence units, 3 blanks, 4 characters.
+
+    As pieces end at boundaries only, a stretch that doesn't fit is met at its beginning; so characters are taken if and only if one doesn't fit.
+    """
+    found = F.lit(4)
+    for finest in (3, 2, 1):
+        taken = F.regexp_extract_all(shade, F.lit(boundary_pattern(limit, finest)), F.lit(1))
+        found = F.when(F.forall(taken, lambda x: x == ""), finest).otherwise(found)
+    return found
 
 
 def shaded(df: DataFrame, text_col: str, longer_than: int, sent=None) -> DataFrame:
@@ -79,7 +84,7 @@ def split_texts(df: DataFrame, keys: list[str], limits: list[tuple[str, int, int
         one = (
             rows.where(F.length("_text") > most)
             .withColumn("_n", structs)
-            .withColumn("finest", finest_needed(F.col("_shade"), F.lit(most)))
+            .withColumn("finest", finest_needed(F.col("_shade"), most))
             .groupBy(*keys)
             .agg(F.min(F.struct("finest", "_n")).alias("r"))
             .select(*keys, F.lit(name).alias("limit_name"), F.col("r.finest").alias("finest"), F.inline("r._n"))
@@ -104,4 +109,4 @@ def _pieces(sizes: Column, text: Column, overlap: int) -> Column:
 def finest_boundaries(df: DataFrame, keys: list[str], limit: int, text_col: str = "text", sent=None) -> DataFrame:
     """For every text longer than the limit, the finest boundary that its cutting needs (see ``finest_needed``)."""
     rows = shaded(df.select(*keys, F.col(text_col).alias("_text")), "_text", limit, sent)
-    return rows.select(*keys, finest_needed(F.col("_shade"), F.lit(limit)).alias("finest")).groupBy(*keys).agg(F.min("finest").alias("finest"))
+    return rows.select(*keys, finest_needed(F.col("_shade"), limit).alias("finest")).groupBy(*keys).agg(F.min("finest").alias("finest"))
