@@ -19,6 +19,8 @@ CELLS = 1 << BITS
 EVEN = 1e-6
 #: A smaller corpus counts as one of so many trigrams, so that what occurs once or twice in it isn't plausible for that.
 LEAST = 5_000_000
+#: Tables of counts that a slot makes at most.
+TABLES_A_SLOT = 4
 
 
 def code_points(text: str) -> np.ndarray:
@@ -43,8 +45,8 @@ def trigram_cells(codes: np.ndarray) -> np.ndarray:
 def corpus_counts(df: DataFrame, text_col: str) -> np.ndarray:
     """Counts of all trigram cells over every row's whole text.
 
-    Each partition counts locally and sends at most ``CELLS`` pairs; the sums come to the
-    driver as one array of ``CELLS`` numbers.
+    Partitions are read one after another by at most ``TABLES_A_SLOT`` tasks a slot, each of which counts into one table and sends at most ``CELLS`` pairs,
+    so what is shuffled depends on the cluster's size, not on the corpus's; the sums come to the driver as one array of ``CELLS`` numbers.
     """
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +60,8 @@ def corpus_counts(df: DataFrame, text_col: str) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"cell": seen, "n": total[seen]})
 
-    rows = df.select(F.col(text_col).alias("t")).mapInPandas(count, "cell long, n long")
+    tables = TABLES_A_SLOT * df.sparkSession.sparkContext.defaultParallelism
+    rows = df.select(F.col(text_col).alias("t")).coalesce(tables).mapInPandas(count, "cell long, n long")
     summed = rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(CELLS, dtype=np.int64)
     counts[summed["cell"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy(dtype=np.int64)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import settled
@@ -98,7 +98,7 @@ def mixed(sizes: DataFrame, targets: DataFrame, id_col: str, source_col: str = "
 
     ``sizes`` holds id, source, ``tokens`` and a digest of the text; ``targets`` holds ``source``, ``target_share``, ``max_repeats`` (a small table,
     one row per source). Sources are compared without blanks around them and capitals; documents of other or null sources
-    are not used. The corpus aimed at has ``total_tokens``, by default those of all documents together.
+    are not used. What comes to the driver are sums for each membership pattern and source (patterns of up to all sources, as many as there are). The corpus aimed at has ``total_tokens``, by default those of all documents together.
     Returns (id, ``source``, ``tokens``, ``uses``) for documents used at least once, and per target source
     ``target_share``, ``capacity_tokens``, ``quota_tokens``, ``tokens`` used, ``actual_share``, ``reachable``.
     """
@@ -110,23 +110,22 @@ def mixed(sizes: DataFrame, targets: DataFrame, id_col: str, source_col: str = "
     members = known.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("pattern"), F.max("tokens").alias("once"))
     joined = settled(known.join(members, "digest").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(BUCKETS)).cast("int")))
     distinct = {r["pattern"]: float(r["t"]) for r in members.groupBy("pattern").agg(F.sum("once").alias("t")).toLocalIterator()}
-    held = joined.groupBy("pattern", "source", "bucket").agg(F.sum("tokens").alias("t")).toPandas()
-    holdings = {(p, s): float(t) for (p, s), t in held.groupby(["pattern", "source"])["t"].sum().items()}
+    held = joined.groupBy("pattern", "source", "bucket").agg(F.sum("tokens").alias("t"))
+    holdings = {(r["pattern"], r["source"]): float(r["t"]) for r in held.groupBy("pattern", "source").agg(F.sum("t").alias("t")).collect()}
     quotas = {s: share * total for s, (_, share, _) in goals.items()}
     repeats = {s: n for s, (_, _, n) in goals.items()}
     flow = routed(holdings, distinct, quotas, repeats)
-    rows = []
-    for (p, s), part in held.groupby(["pattern", "source"]):
-        whole, rest = divmod(flow[p, s], holdings[p, s])
-        upto, got = 0, 0.0
-        for bucket, t in sorted(zip(part["bucket"], part["t"], strict=True)):
-            if got + t / 2 > rest * 1.0:
-                break
-            got += float(t)
-            upto = int(bucket) + 1
-        rows.append((p, s, int(whole), upto if rest > 1e-6 else 0))
     spark = sizes.sparkSession
-    levels = spark.createDataFrame(rows or [("", "", 0, 0)], "pattern string, source string, whole int, upto int")
+    given = []
+    for (p, s), t in holdings.items():
+        whole, rest = divmod(flow[p, s], t)
+        given.append((p, s, int(whole), float(rest)))
+    goal = spark.createDataFrame(given, "pattern string, source string, whole int, rest double")
+    # the last, partial use takes buckets in order, as many as come nearest to the rest
+    upon = Window.partitionBy("pattern", "source").orderBy("bucket")
+    taken = held.join(goal.where("rest > 1e-6"), ["pattern", "source"]).withColumn("before", F.sum("t").over(upon) - F.col("t")).where("before + t / 2 <= rest")
+    upto = taken.groupBy("pattern", "source").agg(F.max(F.col("bucket") + 1).alias("upto"))
+    levels = goal.drop("rest").join(upto, ["pattern", "source"], "left").fillna(0, ["upto"])
     most = F.create_map(*[F.lit(x) for s, n in repeats.items() for x in (s, n)]) if repeats else F.create_map(F.lit(""), F.lit(0))
     uses = F.least(F.col("whole") + F.when(F.col("bucket") < F.col("upto"), 1).otherwise(0), most[F.col("source")])
     used = settled(joined.join(levels, ["pattern", "source"]).withColumn("uses", uses).where("uses > 0").select(id_col, "source", "tokens", "uses"))

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..shared import settled
 
-SALTS = 64
+#: Items of one size that are ranked together.
+RANKED = 250_000
 
 
 def exact_fill(stock: np.ndarray, gap: int) -> list[int] | None:
@@ -41,7 +42,7 @@ def exact_fill(stock: np.ndarray, gap: int) -> list[int] | None:
         part = there[: rest + 1]
         pair = part & part[::-1]
         pair[0] = pair[rest] = False
-        for b in np.flatnonzero(pair)[::-1][:8]:
+        for b in np.flatnonzero(pair)[::-1]:  # fails only where two of the three sizes are equal
             need = Counter([int(a), int(b), rest - int(b)])
             if all(stock[s] >= n for s, n in need.items()):
                 return [int(a), int(b), rest - int(b)]
@@ -97,15 +98,23 @@ def packed(sizes: DataFrame, id_col: str, capacity: int) -> DataFrame:
     """A container for every item of ``sizes`` (id, ``tokens``): id, ``part_no``, ``size``, ``container_no``.
 
     Items without tokens (or with null) take no room and give no row. Rows that repeat an id are items of their own;
-    extra columns are dropped. Ranks within a size are made of ``SALTS`` salted counts, so a size that holds a third of all items is
-    not sorted in one task.
+    extra columns are dropped. A size of more than ``RANKED`` items is ranked in salted parts, as many as its count asks for, so a size that holds a third
+    of all items is not sorted in one task. What comes to the driver are a count per size, and one per part: the capacity and a ``RANKED``-th of the items bound them.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
-    parts = settled(pieces_of(sizes.select(id_col, "tokens"), id_col, capacity).withColumn("salt", F.pmod(F.xxhash64(id_col, "part_no"), F.lit(SALTS)).cast("int")))
-    stock = parts.groupBy("size", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["size", "salt"])  # at most capacity times SALTS rows
-    counts = {int(k): int(v) for k, v in stock.groupby("size")["n"].sum().items()}
-    starts = {(int(r.size_), int(r.salt)): int(r.start) for r in stock.assign(size_=stock["size"], start=stock.groupby("size")["n"].cumsum() - stock["n"]).itertuples()}
+    spark = sizes.sparkSession
+    cut = settled(pieces_of(sizes.select(id_col, "tokens"), id_col, capacity))
+    counts = {int(r["size"]): int(r["n"]) for r in cut.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    salts = spark.createDataFrame([(s, -(-n // RANKED)) for s, n in counts.items() if n > RANKED], "size int, salts int")
+    salted = cut.join(F.broadcast(salts), "size", "left")  # at most a row for each size up to the capacity
+    parts = salted.withColumn("salt", F.pmod(F.xxhash64(id_col, "part_no"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    stock = parts.groupBy("size", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["size", "salt"])
+    starts: dict[int, np.ndarray] = {}
+    for size, one in stock.groupby("size"):
+        begin = np.zeros(int(one["salt"].max()) + 1, dtype=np.int64)
+        begin[one["salt"]] = one["n"].cumsum() - one["n"]
+        starts[int(size)] = begin
     ranges: dict[int, list[tuple[int, int, int]]] = {}
     used: Counter[int] = Counter()
     first = 0
@@ -115,18 +124,17 @@ def packed(sizes: DataFrame, id_col: str, capacity: int) -> DataFrame:
             used[s] += times * n
         first += times
     lookup = {s: tuple(np.array(x, dtype=np.int64) for x in zip(*r, strict=True)) for s, r in ranges.items()}
-    sent = sizes.sparkSession.sparkContext.broadcast((starts, lookup))
+    sent = spark.sparkContext.broadcast((starts, lookup))
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         starts, lookup = sent.value
         for b in batches:
             out = np.zeros(len(b), dtype=np.int64)
-            size, rank = b["size"].to_numpy(), b["rank"].to_numpy(dtype=np.int64)
-            offset = np.array([starts[int(s), int(x)] for s, x in zip(size, b["salt"], strict=True)], dtype=np.int64)
+            size, salt, rank = b["size"].to_numpy(), b["salt"].to_numpy(), b["rank"].to_numpy(dtype=np.int64)
             for s in np.unique(size):
                 mine = np.flatnonzero(size == s)
                 at, box, each = lookup[int(s)]
-                r = offset[mine] + rank[mine]
+                r = starts[int(s)][salt[mine]] + rank[mine]
                 i = np.searchsorted(at, r, side="right") - 1
                 out[mine] = box[i] + (r - at[i]) // each[i]
             yield b[[id_col, "part_no", "size"]].assign(container_no=out)
