@@ -1,10 +1,10 @@
-"""Garbled text from wrong character encoding: find it, learn the swaps, restore it.
+"""Garbled text from wrong character encoding: find it, learn the ciphers, restore it.
 
-A wrong decoding is a substitution cipher whose key is a pair of code pages. The hidden
-variable of a damaged text is its pair; the hidden variable of a garbled symbol is the letter
-behind it. Expectation-maximisation over all suspect texts learns how often each pair occurs
-in each source and, per pair, which letter each garbled symbol stands for, both judged by
-character n-grams of the corpus itself; the learnt mapping is applied by translation.
+A wrong decoding is a substitution cipher whose key is a pair of code pages. Damage by pairs of known pages is found by the gain in plausibility that undoing
+them brings, judged by character n-grams of the corpus itself; expectation-maximisation over all suspect texts learns how often each pair occurs. Keys of
+pages that are on no list are learnt, too: per source, expectation-maximisation finds the letter behind each symbol, from any key at first (letter frequencies; the known
+pages where they know the symbol, weighed by their shares), with the n-grams around each occurrence as the language's evidence. The learnt key is applied by
+translation. UTF-8 that was misread isn't letter to letter; it is decoded by its form.
 
 Null and blank texts are undamaged and give no row. A text with replacement characters
 (U+FFFD) has lost what stood there: it is reported with no restored text.
@@ -16,7 +16,7 @@ import codecs
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from ..shared import settled
 from . import charlm
 
-# Code pages by which UTF-8 is commonly misread.
+# Code pages by which UTF-8 is commonly misread, a choice of ours.
 UTF8_MISREAD_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859-15", "iso8859-2", "koi8-r", "cp866", "cp1253", "cp1254"]
 
-# Other common pairs of true and wrong code page.
+# Other common pairs of true and wrong code page, a choice of ours.
 PAGE_PAIRS = [
     ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp1252", "cp1253"),
     ("cp1252", "koi8-r"), ("cp1252", "iso8859-2"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp850", "latin-1"), ("cp437", "latin-1"),
@@ -219,11 +219,10 @@ def applied(text: str, edits: list[tuple[int, int, str]], ends: list[int] | None
     return "".join(parts), new_ends
 
 
-def restored(text: str, table: np.ndarray, prior: list[float] | None = None, letters: dict | None = None, ends: list[int] | None = None) -> tuple[str, list[str], list[int] | None]:
+def restored(text: str, table: np.ndarray, prior: list[float] | None = None, ends: list[int] | None = None) -> tuple[str, list[str], list[int] | None]:
     """The restored text, the names of the swaps undone in turn, and where each character ends in the stored text.
 
-    ``prior`` holds the learnt log shares of the swaps in the text's source; ``letters`` the learnt
-    letter of each garbled symbol per swap, by which single-letter swaps are translated.
+    ``prior`` holds the learnt log shares of the swaps.
     """
     names: list[str] = []
     for _ in range(ROUNDS):
@@ -236,8 +235,6 @@ def restored(text: str, table: np.ndarray, prior: list[float] | None = None, let
         if not best_edits:
             break
         swap = swaps()[best_key]
-        if letters and swap.table and (learnt := letters.get(best_key)):
-            best_edits = [(a, b, text[a:b].translate(learnt)) for a, b, _ in best_edits]
         text, ends = applied(text, best_edits, ends)
         names.append(f"{swap.true}>{swap.wrong}")
     return text, names, ends
@@ -328,14 +325,186 @@ def posterior(found: list[tuple[int, float]], prior: list[float]) -> list[tuple[
     return [(i, w / sum(weights)) for (i, _), w in zip(found, weights, strict=True)]
 
 
+#: Letters that a symbol may stand for: the corpus's letters beyond ASCII, the most frequent ones of alphabets (no syllables or Han, which no one-byte page holds).
+ALPHABET = 320
+#: What a learnt key must gain: in all over its source, and per symbol replaced.
+KEY_GAIN, SYMBOL_GAIN = 25.0, 3.0
+#: Symbols in rare trigrams that a source must show.
+LEAST_SEEN = 6
+#: Share of a source's letters beyond ASCII that a key must change.
+MOST = 0.5
+#: Prior weight of a symbol standing for itself, of the letters by frequency, and of what known pages make of it.
+ITSELF, ANY_LETTER, KNOWN_PAGES = 0.2, 0.4, 0.4
+NEAR = 2
+
+
+def is_letter_of_alphabet(c: str) -> bool:
+    return c > "\x7f" and c.isalpha() and c < "\u2000"
+
+
+def alphabet_of(df: DataFrame, text_col: str, most: int = ALPHABET) -> dict[str, float]:
+    """The most frequent letters beyond ASCII of all texts with their shares."""
+
+    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[str] = Counter()
+        for b in batches:
+            found.update(re.sub(r"[\x00-\x7f]+", "", "".join(t for t in b.iloc[:, 0] if t)))
+        kept = [(c, n) for c, n in found.items() if is_letter_of_alphabet(c)]
+        yield pd.DataFrame(kept, columns=["c", "n"]).astype({"n": "int64"})
+
+    summed = df.select(F.col(text_col)).mapInPandas(count, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    rows = summed.orderBy(F.desc("n"), "c").limit(most).collect()
+    total = sum(r["n"] for r in rows) or 1
+    return {r["c"]: r["n"] / total for r in rows}
+
+
+class Key:
+    """The learning of one source's cipher: for each symbol, what it may stand for, before and after the evidence."""
+
+    def __init__(self, alphabet: dict[str, float], shares: list[float], table: np.ndarray):
+        self.letters = sorted(alphabet)
+        self.index = {c: i for i, c in enumerate(self.letters)}
+        self.by_frequency = np.array([alphabet[c] for c in self.letters])
+        self.table = table
+        self.pages: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        for i, s in enumerate(swaps()):
+            for c, x in s.table.items():
+                if x in self.index:
+                    self.pages[c].append((self.index[x], shares[i]))
+
+    def prior(self, symbol: str) -> np.ndarray:
+        """Probabilities of the alphabet's letters and, last, of the symbol itself."""
+        p = np.append(ANY_LETTER * self.by_frequency, ITSELF)
+        known = self.pages.get(symbol)
+        if known:
+            total = sum(w for _, w in known)
+            for i, w in known:
+                p[i] += KNOWN_PAGES * w / total
+        if symbol in self.index:
+            p[self.index[symbol]] = 0.0
+        return p / p.sum()
+
+    def expected(self, contexts: list[str], learnt: list[dict[str, dict[str, float]]]) -> Iterator[tuple[int, str, float, float]]:
+        """For the symbol in the middle of each context: (context, letter, probability, gain over the symbol as it stands) of the likeliest letters. Symbols
+        beside it are read as the key learnt so far reads them. All letters of a few hundred contexts are scored at once."""
+        width, many = 2 * NEAR + 1, len(self.letters)
+        alphabet = np.array([ord(c) for c in self.letters], dtype=np.uint64)
+        for at in range(0, len(contexts), 256):
+            part = contexts[at : at + 256]
+            sides, priors = [], np.zeros((len(part), many + 1))
+            for i, (context, known) in enumerate(zip(part, learnt[at : at + 256], strict=True)):
+                symbol = context[NEAR]
+                sides.append("".join(c if j == NEAR or c not in known else max(known[c], key=known[c].get) for j, c in enumerate(context)))
+                prior = self.prior(symbol)
+                if symbol in known:
+                    prior = 0.02 * prior
+                    for x, p in known[symbol].items():
+                        prior[many if x == symbol else self.index[x]] += 0.98 * p
+                priors[i] = prior
+            codes = np.repeat(charlm.code_points("".join(sides)).reshape(len(part), 1, width), many + 1, axis=1)
+            codes[:, :many, NEAR] = alphabet
+            cells = charlm.trigram_cells(codes.ravel())
+            starts = (np.arange(len(part) * (many + 1)) * width).reshape(len(part), many + 1)
+            scores = sum(self.table[cells[starts + i]] for i in range(width - 2)).astype(np.float64)
+            logs = scores + np.log(priors + 1e-12)
+            shares = np.exp(logs - logs.max(axis=1, keepdims=True))
+            shares /= shares.sum(axis=1, keepdims=True)
+            top = np.argsort(-shares, axis=1)[:, :4]
+            for i, picks in enumerate(top):
+                for x in picks:
+                    yield at + i, self.letters[x] if x < many else part[i][NEAR], float(shares[i, x]), float(scores[i, x] - scores[i, many])
+
+
+def contexts_of(text: str, table: np.ndarray) -> tuple[list[str], int]:
+    """What stands around each occurrence, ``NEAR`` characters on both sides, of the letters beyond ASCII (of alphabets, or symbols that a page gives) that are in a rare trigram
+    somewhere in the text (where else a letter reads well, it speaks for itself), and how many letters beyond ASCII there are."""
+    padded = f"  {text}  "
+    codes = charlm.code_points(padded)
+    rare = table[charlm.trigram_cells(codes)] < ODD
+    at = [i for i in np.flatnonzero(codes > 127) if NEAR <= i < len(padded) - NEAR and padded[i] < "\u2600" and padded[i] not in "“”‘’„«»…–—\u00a0"]
+    odd = {padded[i] for i in at if rare[i - 2 : i + 1].any()}
+    return [padded[i - NEAR : i + NEAR + 1] for i in at if padded[i] in odd], len(at)
+
+
+def learnt_keys(rows: DataFrame, alphabet: dict[str, float], shares: list[float], sent, rounds: int = 4) -> DataFrame:
+    """(source, key): per source the letters that its symbols stand for, where the evidence is enough; by expectation-maximisation.
+
+    ``rows`` holds ``_source`` and ``_text`` of suspect texts. Contexts are counted first, so equal ones are looked at once; expectations
+    are summed per source, symbol and letter, so no group of a source's rows is ever gathered: a source's key holds a few letters for each symbol of a page.
+    """
+
+    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: Counter[tuple[str, str]] = Counter()
+            for s, t in zip(b["_source"], b["_text"], strict=True):
+                if has_trace(t):  # no letter for a letter
+                    continue
+                contexts, letters = contexts_of(t, sent.value)
+                out.update((s, c) for c in contexts)
+                out[s, ""] += letters
+            yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["source", "context", "n"]).astype({"n": "int64"})
+
+    met = rows.mapInPandas(cut, "source string, context string, n long").groupBy("source", "context").agg(F.sum("n").alias("n"))
+    met = settled(met)
+    # a wrong page changes all letters beyond ASCII, not a few; where most read well, or too few are odd to gain enough, there is no key to learn
+    seen, letters = F.sum(F.when(F.col("context") != "", F.col("n")).otherwise(0)).alias("seen"), F.sum(F.when(F.col("context") == "", F.col("n"))).alias("letters")
+    enough = met.groupBy("source").agg(seen, letters).where((F.col("seen") >= LEAST_SEEN) & (F.col("seen") >= MOST * F.col("letters")))
+    met = settled(met.where("context <> ''").join(enough.select("source", F.col("letters").alias("whole")), "source"))
+    kind = "map<string,map<string,double>>"
+    keys = None
+    for _ in range(rounds):
+        at = met.withColumn("key", F.lit(None).cast(kind)) if keys is None else met.join(keys.select("source", "key"), "source", "left")
+
+        def expect(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            learner = Key(alphabet, shares, sent.value)
+            for b in batches:
+                known = [{c: dict(of) for c, of in dict(k).items()} if k is not None else {} for k in b["key"]]
+                sources, contexts, counts = b["source"].tolist(), b["context"].tolist(), b["n"].tolist()
+                out = [(sources[i], contexts[i][NEAR], x, p * counts[i], g * p * counts[i]) for i, x, p, g in learner.expected(contexts, known)]
+                yield pd.DataFrame(out, columns=["source", "symbol", "letter", "n", "gain"])
+
+        summed = at.mapInPandas(expect, "source string, symbol string, letter string, n double, gain double").groupBy("source", "symbol", "letter").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
+        per = summed.groupBy("source", "symbol").agg(F.sum("n").alias("all"), F.collect_list(F.struct("letter", "n", "gain")).alias("of"))  # at most the alphabet's letters
+        best = F.array_max(F.transform("of", lambda x: F.struct(x["n"], x["letter"], x["gain"])))
+        shares_of = F.map_from_entries(F.transform("of", lambda x: F.struct(x["letter"], x["n"] / F.col("all"))))
+        shared = per.select("source", "symbol", "all", shares_of.alias("p"), best.alias("best"))
+        sure = (F.col("best.letter") != F.col("symbol")) & (F.col("best.n") >= 0.7 * F.col("all")) & (F.col("best.gain") >= SYMBOL_GAIN * F.col("best.n"))
+        keys = settled(
+            shared.groupBy("source").agg(
+                F.map_from_entries(F.collect_list(F.struct("symbol", "p"))).alias("key"),
+                F.map_from_entries(F.collect_list(F.when(sure, F.struct("symbol", F.col("best.letter"))))).alias("letters"),
+                F.sum(F.when(sure, F.col("best.gain"))).alias("gain"),
+                F.sum(F.when(sure, F.col("all"))).alias("changed"),
+            )
+        )
+    keys = keys.join(met.select("source", "whole").distinct(), "source").where(F.col("changed") >= MOST * F.col("whole"))
+    return keys.where((F.col("gain") >= KEY_GAIN) & (F.size("letters") >= 2)).select(F.col("source").alias("_source"), "letters")
+
+
+def by_key(text: str, letters: dict[str, str], table: np.ndarray) -> str | None:
+    """The text with a learnt key applied to each word that it makes more plausible, or None if all in all it doesn't."""
+    translation = str.maketrans(letters)
+    parts = re.split(r"(\s+)", text)
+    changed = 0.0
+    for i, part in enumerate(parts):
+        new = part.translate(translation)
+        if new != part:
+            left, right = (parts[i - 1][-1:] if i else " "), (parts[i + 1][:1] if i + 1 < len(parts) else " ")
+            gain = charlm.score(f"{left}{new}{right}", table) - charlm.score(f"{left}{part}{right}", table)
+            if gain > 1.0:
+                parts[i] = new
+                changed += gain
+    return "".join(parts) if changed > LEAST_GAIN else None
+
+
 def damaged_texts(df: DataFrame, keys: list[str], text_col: str = "text", source_col: str | None = None, em_rounds: int = 3) -> DataFrame:
     """Every damaged text of ``df`` with its restored form.
 
-    Result: the key columns, ``swap`` (the pairs undone, in turn), ``fixed`` (the whole restored text, null if
+    Result: the key columns, ``swap`` (the pairs undone, in turn; ``learnt`` for a key of the source that is of no known pair), ``fixed`` (the whole restored text, null if
     characters are lost). Rows that repeat a key count once: the smallest stored text stands.
-    ``source_col`` names the column by which swaps are learnt apart; without it all rows are one source.
+    ``source_col`` names the column whose values share a key; without it all rows are one source.
     The character statistics are sums over all distinct texts, those that a letter swap betters left out; the expectations are sums over all rows. What comes to the driver
-    is one fixed-size table, and per source and swap a number and at most 128 letters.
+    is one fixed-size table, a number for each known pair and a bounded alphabet.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col else F.lit("")
     rows = df.select(*keys, F.col(text_col).alias("_text"), source.alias("_source")).where(F.col("_text").isNotNull())
@@ -345,82 +514,56 @@ def damaged_texts(df: DataFrame, keys: list[str], text_col: str = "text", source
 
     def suspects(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [[] if LOST in t or not is_suspect(t, sent.value) else candidate_swaps(t, sent.value) for t in batch["_text"]]
-            mask = [bool(f) or LOST in t for f, t in zip(found, batch["_text"], strict=True)]
+            odd = [LOST not in t and is_suspect(t, sent.value) for t in batch["_text"]]
+            found = [candidate_swaps(t, sent.value) if o else [] for o, t in zip(odd, batch["_text"], strict=True)]
+            mask = [bool(f) or LOST in t or (o and len(contexts_of(t, sent.value)[0]) > 1) for o, f, t in zip(odd, found, batch["_text"], strict=True)]
             batch = batch.assign(_swaps=[[i for i, _ in f] for f in found], _gains=[[g for _, g in f] for f in found])
             yield batch[np.array(mask, dtype=bool)]
 
-    by_key = [c for c in rows.columns if c not in keys]
+    by_row = [c for c in rows.columns if c not in keys]
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     looked = rows.mapInPandas(suspects, base + ", _swaps array<int>, _gains array<double>")
-    looked = settled(looked.groupBy(*keys).agg(F.min(F.struct(*by_key, "_swaps", "_gains")).alias("r")).select(*keys, "r.*"))
+    looked = settled(looked.groupBy(*keys).agg(F.min(F.struct(*by_row, "_swaps", "_gains")).alias("r")).select(*keys, "r.*"))
 
-    prior: dict[str, list[float]] = {}
     whole = [0.0] * n
+    shares = [1.0 / n] * n
     for _ in range(em_rounds):
 
-        def expect(batches, prior=dict(prior), whole=list(whole)):
+        def expect(batches, whole=list(whole)):
             for batch in batches:
-                out: dict[tuple[str, int], float] = defaultdict(float)
-                for name, ids, gains in zip(batch["_source"], batch["_swaps"], batch["_gains"], strict=True):
+                out: dict[int, float] = defaultdict(float)
+                for ids, gains in zip(batch["_swaps"], batch["_gains"], strict=True):
                     if len(ids):
-                        for i, w in posterior(list(zip(ids, gains, strict=True)), prior.get(name, whole)):
-                            out[name, int(i)] += w
-                yield pd.DataFrame([(s, i, w) for (s, i), w in out.items()], columns=["source", "swap", "n"])
-
-        summed = looked.mapInPandas(expect, "source string, swap int, n double").groupBy("source", "swap").agg(F.sum("n").alias("n"))
-        per_source: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        for r in summed.toLocalIterator():
-            per_source[r["source"]][r["swap"]] += r["n"]
-        total = sum(per_source.values(), np.zeros(n)) + 0.5
-        shares = total / total.sum()
+                        for i, w in posterior(list(zip(ids, gains, strict=True)), whole):
+                            out[int(i)] += w
+                yield pd.DataFrame(list(out.items()), columns=["swap", "n"])
+
+        summed = looked.select("_swaps", "_gains").mapInPandas(expect, "swap int, n double").groupBy("swap").agg(F.sum("n").alias("n")).collect()
+        total = np.full(n, 0.5)
+        for r in summed:
+            total[r["swap"]] += r["n"]
+        shares = list(total / total.sum())
         whole = list(np.log(shares))
-        prior = {s: list(np.log((c + 5 * shares) / (c.sum() + 5))) for s, c in per_source.items()}
-    letters = _learnt_letters(looked, prior, whole, sent)
 
     def restore(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fixed, name = [], []
-            for text, source_name in zip(batch["_text"], batch["_source"], strict=True):
-                if LOST in text:
-                    fixed.append(None), name.append("lost")
-                else:
-                    new, names, _ = restored(text, sent.value, prior.get(source_name, whole), letters)
-                    fixed.append(new), name.append(",".join(names))
-            out = batch[keys].assign(swap=name, fixed=fixed)
+            done = []
+            for t, ids, letters in zip(batch["_text"], batch["_swaps"], batch["letters"], strict=True):
+                if LOST in t:
+                    done.append((None, "lost"))
+                    continue
+                fixed, names = restored(t, sent.value, whole)[:2] if len(ids) else (t, [])
+                name = ",".join(names)
+                if letters is not None and (own := by_key(t, dict(letters), sent.value)) is not None and own != fixed:
+                    if charlm.score(own, sent.value) > charlm.score(fixed, sent.value) + LEAST_GAIN:
+                        fixed, name = own, "learnt"
+                done.append((fixed, name))
+            out = batch[keys].assign(swap=[name for _, name in done], fixed=[f for f, _ in done])
             yield out[out["swap"] != ""]
 
     out_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", swap string, fixed string"
-    return looked.mapInPandas(restore, out_schema)
-
-
-def _learnt_letters(looked: DataFrame, prior: dict, whole: list[float], sent) -> dict[int, dict[int, str]]:
-    """The last expectation: per single-letter swap, the letter that each garbled symbol stood for most.
-
-    Only symbols of a code page can occur, so at most 128 per swap come to the driver.
-    """
-
-    def expect(batches):
-        for batch in batches:
-            out: dict[tuple[int, str, str], float] = defaultdict(float)
-            for text, name, ids, gains in zip(batch["_text"], batch["_source"], batch["_swaps"], batch["_gains"], strict=True):
-                if not len(ids):
-                    continue
-                for i, w in posterior(list(zip(ids, gains, strict=True)), prior.get(name, whole)):
-                    swap = swaps()[i]
-                    if w < 1e-6 or not swap.table:
-                        continue
-                    for a, b, new in swap_gain(text, swap, sent.value)[1]:
-                        for c, x in zip(text[a:b], new, strict=True):
-                            out[int(i), c, x] += w
-            yield pd.DataFrame([(*k, w) for k, w in out.items()], columns=["swap", "symbol", "letter", "n"])
-
-    summed = looked.mapInPandas(expect, "swap int, symbol string, letter string, n double").groupBy("swap", "symbol", "letter").agg(F.sum("n").alias("n"))
-    best = summed.groupBy("swap", "symbol").agg(F.max_by("letter", F.struct("n", "letter")).alias("letter"))
-    letters: dict[int, dict[int, str]] = defaultdict(dict)
-    for r in best.toLocalIterator():
-        letters[r["swap"]][ord(r["symbol"])] = r["letter"]
-    return {i: str.maketrans(swaps()[i].table) | by for i, by in letters.items()}
+    found = learnt_keys(looked.where(~F.col("_text").contains(LOST)), alphabet_of(rows, "_text"), shares, sent)
+    return looked.join(found, "_source", "left").mapInPandas(restore, out_schema)
 
 
 def md5_of(text: str | None) -> str:

@@ -27,7 +27,7 @@ def _limits(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, members = clusters.clustered(table(spark, sf_dir, "loaded_doc"), strongest=8)  # candidates only; they are checked exactly
+    docs, members = clusters.clustered(table(spark, sf_dir, "loaded_doc"))
     return clusters.tight_groups(docs, members)
 
 
@@ -76,12 +76,12 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = encoding.damaged_texts(_paragraphs(spark, sf_dir), KEYS)
+    fixed = encoding.damaged_texts(_paragraphs(spark, sf_dir), KEYS, source_col="doc_id")  # a document was decoded as a whole
     return fixed.select(*KEYS, F.coalesce(F.md5(F.encode("fixed", "UTF-8")), F.lit("")).alias("fixed_md5"))
 
 
 def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.damaged_texts(_paragraphs(spark, sf_dir), KEYS)
+    return encoding.damaged_texts(_paragraphs(spark, sf_dir), KEYS, source_col="doc_id")  # a document was decoded as a whole
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
