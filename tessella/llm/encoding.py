@@ -482,7 +482,8 @@ def learnt_keys(rows: DataFrame, alphabet: dict[str, float], shares: list[float]
 
 
 def by_key(text: str, letters: dict[str, str], table: np.ndarray) -> str | None:
-    """The text with a learnt key applied to each word that it makes more plausible, or None if all in all it doesn't."""
+    """The text with a learnt key applied to each word that it doesn't make far less plausible (what damage left in many texts reads well), or None if all
+    in all it makes the text no more plausible."""
     translation = str.maketrans(letters)
     parts = re.split(r"(\s+)", text)
     changed = 0.0
@@ -491,7 +492,7 @@ def by_key(text: str, letters: dict[str, str], table: np.ndarray) -> str | None:
         if new != part:
             left, right = (parts[i - 1][-1:] if i else " "), (parts[i + 1][:1] if i + 1 < len(parts) else " ")
             gain = charlm.score(f"{left}{new}{right}", table) - charlm.score(f"{left}{part}{right}", table)
-            if gain > 1.0:
+            if gain > -4.0:
                 parts[i] = new
                 changed += gain
     return "".join(parts) if changed > LEAST_GAIN else None

@@ -3,8 +3,8 @@
 Every vector is represented by its nearest pivots in order. Pivots are chosen far apart from a bounded
 sample (``sample`` rows); all vectors are indexed. The index is cut by vectors: each task posts its share
 in inverted files, one per pivot and rank, and ranks them for every query by the footrule distance of
-the two orders of pivots. All vectors up to the distance of the ``candidates``-th best, ties included, are compared
-exactly; the task's best go into the merge. Nothing but queries (in blocks of ``BLOCK``) and results crosses tasks.
+the two orders of pivots. All vectors up to the distance of the ``candidates``-th best (at least a share ``PART`` of those posted together, so that accuracy doesn't
+depend on how rows are cut), ties included, are compared exactly; the task's best go into the merge. Nothing but queries (in blocks of ``BLOCK``) and results crosses tasks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ DIMS = vectors.DIMS
 BLOCK = 8192
 #: Rows that one posting structure holds.
 SHARE = 262144
+#: Share of the rows of a posting structure that are compared exactly at least.
+PART = 0.025
 
 
 def pivots_of(docs: DataFrame, count: int, sample: int, seed: int = 5) -> np.ndarray:
@@ -126,7 +128,7 @@ def _against(docs: DataFrame, part: pd.DataFrame, marks: np.ndarray, k: int, pre
             post = Postings(x, marks, prefix)
             qs, ds, cs = [], [], []
             for i in range(len(q)):
-                near = post.best(q[i], order_q[i], candidates)
+                near = post.best(q[i], order_q[i], max(candidates, int(PART * len(x))))
                 s = np.round(x[near] @ q[i], 14)
                 if len(s) > k + 1:
                     least = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
