@@ -138,6 +138,11 @@ def local_name(uri: Column) -> Column:
     return F.when(F.instr(uri, "#") > 0, F.substring_index(uri, "#", -1)).otherwise(F.substring_index(uri, "/", -1))
 
 
+def document_slug(uri: Column) -> Column:
+    """A document's short name: its URI without the prefix ``urn:doc:``, else what follows the last slash."""
+    return F.when(uri.startswith("urn:doc:"), F.substring(uri, 9, 2**31 - 9)).otherwise(F.substring_index(uri, "/", -1))
+
+
 def fragment_number(uri: Column) -> Column:
     """The number of a fragment's URI, or null."""
     return F.nullif(F.regexp_extract(uri, "frag-([0-9]+)", 1), F.lit("")).try_cast("int")

@@ -37,7 +37,8 @@ def category_of(c: Column) -> Column:
 
 def resolved(evidences: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Evidence with ``role_name``, ``weight`` and ``category`` (each null if unknown), exact repeats merged, keys required."""
-    rows = evidences.where("doc_id IS NOT NULL AND k IS NOT NULL").distinct()
+    # by fragment, so that repeats meet and all later aggregates and joins on a fragment find their rows in place
+    rows = evidences.where("doc_id IS NOT NULL AND k IS NOT NULL").repartition("doc_id", "k").distinct()
     pairs = [(r.lower(), r, float((weights or {}).get(r, w))) for r, w in dims.ROLES]
     names = F.create_map(*[F.lit(x) for key, name, _ in pairs for x in (key, name)])
     values = F.create_map(*[F.lit(x) for key, _, w in pairs for x in (key, w)])

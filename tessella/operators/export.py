@@ -21,10 +21,13 @@ def primary_rows(acts: DataFrame) -> DataFrame:
 
 
 def document_sheet(acts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Per document its leading category, its vector, and in how many fragments each category is primary or a linked secondary."""
+    """Per document its leading category, its vector, and in how many fragments each category is primary or a linked secondary.
+
+    Activations are one row for each (doc_id, k, category), so fragments are counted without looking for distinct ones.
+    """
     counts = primary_rows(acts).groupBy("doc_id").agg(
-        *[F.count_distinct(F.when((F.col("category") == name) & F.col("is_primary"), F.col("k"))).alias(f"{short}_primary") for name, short in _by_place()],
-        *[F.count_distinct(F.when((F.col("category") == name) & F.col("is_secondary_link"), F.col("k"))).alias(f"{short}_secondary") for name, short in _by_place()],
+        *[F.count_if((F.col("category") == name) & F.col("is_primary")).alias(f"{short}_primary") for name, short in _by_place()],
+        *[F.count_if((F.col("category") == name) & F.col("is_secondary_link")).alias(f"{short}_secondary") for name, short in _by_place()],
     )
     lead = profile.top_category(vectors)
     return vectors.select("doc_id", lead.alias("leading"), *[F.col(s).cast("double").alias(s) for _, s in _by_place()]).join(counts, "doc_id", "left")

@@ -17,12 +17,12 @@ def labels(spark: SparkSession) -> DataFrame:
 
 def closure(spark: SparkSession, edges: list[tuple[str, str]] | None = None) -> DataFrame:
     """(sub, sup) of all classes below others, any number of steps, by a recursive query. The edges form no circle."""
-    dims.constant(spark, "sub, sup", edges or dims.CLASS_EDGES).createOrReplaceTempView("_class_edges")
     return spark.sql(
         """WITH RECURSIVE up(sub, sup) AS (
-             SELECT sub, sup FROM _class_edges
-             UNION ALL SELECT up.sub, e.sup FROM up JOIN _class_edges e ON up.sup = e.sub)
-           SELECT DISTINCT sub, sup FROM up"""
+             SELECT sub, sup FROM {edges}
+             UNION ALL SELECT up.sub, e.sup FROM up JOIN {edges} e ON up.sup = e.sub)
+           SELECT DISTINCT sub, sup FROM up""",
+        edges=dims.constant(spark, "sub, sup", edges or dims.CLASS_EDGES),
     )
 
 
@@ -57,11 +57,11 @@ def elements_and_activations(acts: DataFrame, elements: DataFrame) -> DataFrame:
 
 def summary(acts: DataFrame) -> DataFrame:
     """Question 2's figures per fragment and category, and per document and category (k null), by grouping sets."""
-    acts.createOrReplaceTempView("_acts")
     return acts.sparkSession.sql(
         """SELECT doc_id, k, category, grouping(k) AS whole_document, count(*) AS n, count_if(lower(atype) = 'primary') AS primaries,
                   count_if(lower(atype) = 'secondary') AS secondaries, cast(max(share) AS double) AS top_score
-           FROM _acts GROUP BY GROUPING SETS ((doc_id, k, category), (doc_id, category))"""
+           FROM {acts} GROUP BY GROUPING SETS ((doc_id, k, category), (doc_id, category))""",
+        acts=acts,
     )
 
 
@@ -126,6 +126,59 @@ def report_lines(acts: DataFrame, vectors: DataFrame, fragments: DataFrame) -> D
     return out.select("doc_id", F.col("place")[0].alias("part"), F.col("place")[1].alias("k"), F.col("place")[2].alias("n"), "line")
 
 
+def _lines(rows: DataFrame, part: int, keys: list, line, k="k") -> DataFrame:
+    """Report lines (doc_id, part, k, place, line): ``place`` orders the lines of one part and fragment, so no task has to number a document's lines."""
+    at = F.concat_ws("\u0001", *[F.coalesce(x, F.lit("")) if not isinstance(x, str) else F.lit(x) for x in keys])
+    return rows.select("doc_id", F.lit(part).alias("part"), (F.col(k) if k else F.lit(-1)).cast("int").alias("k"), at.alias("place"), line.alias("line"))
+
+
+def _heading(fragments: DataFrame):
+    return F.concat(F.lit("[Fragmento] "), F.coalesce(F.nullif("text", F.lit("")), "frag_uri"))
+
+
+def evoked_lines(acts: DataFrame, elements: DataFrame, fragments: DataFrame, language: str | None = None) -> DataFrame:
+    """Question 1 as text, (doc_id, part, k, place, line), in the order of part, k and place: a line for the document, then per fragment its heading and what it evokes,
+    activations first, by label. A score of 0 is not shown. Fragments that evoke nothing have no lines."""
+    rows = evoked(acts, elements, fragments, language)
+    name = F.coalesce("label", "category")
+    via = F.when((F.col("source") == "activation") & (F.coalesce("score", F.lit(0.0)) != 0), F.format_string(" (via activation, score=%.4f)", "score")).otherwise(F.concat(F.lit(" (via "), "source", F.lit(")")))
+    met = rows.select("doc_id", "k").distinct().join(fragments.select("doc_id", "k", "text", "frag_uri"), ["doc_id", "k"])
+    docs = met.select("doc_id").distinct()
+    out = _lines(docs, 0, ["0"], F.concat(F.lit("[Documento] "), "doc_id"), None).unionByName(_lines(docs, 0, ["1"], F.lit(""), None))
+    out = out.unionByName(_lines(met, 1, ["0"], _heading(fragments))).unionByName(_lines(met, 1, ["2"], F.lit("")))
+    return out.unionByName(_lines(rows, 1, ["1", F.col("source"), name, F.col("category")], F.concat(F.lit("  - "), name, via)))
+
+
+def elements_lines(acts: DataFrame, elements: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Question 2 as text, (doc_id, part, k, place, line), in the order of part, k and place: per document its categories by name with their elements (each once, by type and
+    name) and a summary of activations; then the same per fragment, each activation on a line of its own."""
+    rows = elements_and_activations(acts, elements).withColumn("name", F.coalesce("label_pt", "label_en", "category")).withColumn("low", F.lower("name"))
+    is_act = F.col("evidence_type") == "IntelligenceActivation"
+    each, fired = rows.where(~is_act), rows.where(is_act)
+    bullet = F.concat(F.lit("        • "), "evidence_type", F.lit(": "), "element")
+    by_name = [F.col("evidence_type"), F.lower("element"), F.col("element")]
+    docs = rows.select("doc_id").distinct()
+    out = _lines(docs, 0, ["0"], F.concat(F.lit("[Documento] "), "doc_id"), None)
+    out = out.unionByName(_lines(docs, 2, ["0"], F.concat(F.lit("[Documento — Fragmentos] "), "doc_id"), None))
+    whole = ["doc_id", "name", "low"]
+    out = out.unionByName(_lines(rows.select(*whole).distinct(), 1, [F.col("low"), "0"], F.concat(F.lit("  > Inteligência (doc): "), "name"), None))
+    out = out.unionByName(_lines(each.select(*whole).distinct(), 1, [F.col("low"), "1"], F.lit("    - Elementos (agregado no doc):"), None))
+    out = out.unionByName(_lines(each.select(*whole, "evidence_type", "element").distinct(), 1, [F.col("low"), "2", *by_name], bullet, None))
+    totals = fired.groupBy(*whole).agg(F.count("*").alias("n"), F.count_if(F.lower("atype") == "primary").alias("first"), F.count_if(F.lower("atype") == "secondary").alias("second"), F.max("score").alias("top"))
+    told = F.concat(F.format_string("    - Ativações (doc): n=%d, primárias=%d, secundárias=%d", "n", "first", "second"), F.when(F.col("top").isNotNull(), F.format_string(", max=%.4f", "top")).otherwise(""))
+    out = out.unionByName(_lines(totals, 1, [F.col("low"), "3"], told, None))
+    met = rows.select("doc_id", "k").distinct().join(fragments.select("doc_id", "k", "text", "frag_uri"), ["doc_id", "k"])
+    part = [*whole, "k"]
+    out = out.unionByName(_lines(met, 3, [""], _heading(fragments)))
+    out = out.unionByName(_lines(rows.select(*part).distinct(), 3, [F.col("low"), "0"], F.concat(F.lit("  > Inteligência: "), "name")))
+    out = out.unionByName(_lines(each.select(*part).distinct(), 3, [F.col("low"), "1"], F.lit("    - Elementos:")))
+    out = out.unionByName(_lines(each.select(*part, "evidence_type", "element").distinct(), 3, [F.col("low"), "2", *by_name], bullet))
+    out = out.unionByName(_lines(fired.select(*part).distinct(), 3, [F.col("low"), "3"], F.lit("    - Ativações:")))
+    parts = F.concat_ws(", ", F.when(F.col("score").isNotNull(), F.format_string("score=%.4f", "score")), F.when(F.col("atype").isNotNull(), F.concat(F.lit("tipo="), "atype")))
+    one = F.concat(F.lit("        • "), F.when(parts == "", "(sem score/tipo)").otherwise(parts))
+    return out.unionByName(_lines(fired, 3, [F.col("low"), "4", F.col("act_uri")], one))
+
+
 def metrics(rows: DataFrame) -> DataFrame:
     """Rows, documents and fragments of a question's answer."""
     return rows.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("doc_id", "k").alias("fragments"))

@@ -20,6 +20,15 @@ def chosen_profiles(profiles: DataFrame, keys: list[str] | None = None) -> DataF
     return profiles.where(F.col("key").isin(wanted))
 
 
+def valid_profiles(profiles: DataFrame) -> DataFrame:
+    """Profiles with their numbers divided by their sum. One that has not eight finite numbers, has a negative one or sums to nothing raises an error that names it."""
+    v = F.col("vector")
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    fine = F.coalesce((F.size(v) == 8) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < F.lit(float("inf")))) & (total > 0), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("no valid profile: "), F.coalesce("key", F.lit("(no key)"))))
+    return profiles.withColumn("vector", F.when(fine, F.transform(v, lambda x: x / total)).otherwise(wrong.cast("array<double>")))
+
+
 def latest_vectors(loaded: DataFrame) -> DataFrame:
     """One vector per document of those with eight numbers: the one loaded last, ties by a hash of the vector.
 
@@ -37,12 +46,20 @@ def scored(vectors: DataFrame, profiles: DataFrame, focus: list[str] | None = No
 
     A vector without length scores 0. Profiles are a table whose size Catalyst knows; no document is compared with another.
     """
-    places = [i for i, n in enumerate(dims.SHORT) if not focus or n in focus or f"{n}Intelligence" in focus]
-    if not places:
-        raise ValueError("no category in focus")
-    a, b = [F.get("vector", F.lit(i)) for i in places], [F.get("profile", F.lit(i)) for i in places]
+    return scored_by(vectors, profiles, score=focus)
+
+
+def scored_by(vectors: DataFrame, profiles: DataFrame, **scores: list[str] | None) -> DataFrame:
+    """``scored`` with a column for each named focus, so that several views of the same pairs need one pass."""
     pairs = vectors.select("doc_id", "vector").crossJoin(profiles.select("key", F.col("vector").alias("profile")))
-    return pairs.select("key", "doc_id", F.round(N.cosine(a, b), 9).alias("score"))
+    columns = []
+    for name, focus in scores.items():
+        places = [i for i, n in enumerate(dims.SHORT) if not focus or n in focus or f"{n}Intelligence" in focus]
+        if not places:
+            raise ValueError("no category in focus")
+        a, b = [F.get("vector", F.lit(i)) for i in places], [F.get("profile", F.lit(i)) for i in places]
+        columns.append(F.round(N.cosine(a, b), 9).alias(name))
+    return pairs.select("key", "doc_id", *columns)
 
 
 def ranked(scores: DataFrame, k: int = 10) -> DataFrame:
@@ -81,11 +98,10 @@ def average_ranks(df: DataFrame, value: str, name: str, bins: int = 4096) -> Dat
     return df.join(placed, ["key", value])
 
 
-def rank_correlation(left: DataFrame, right: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
-    """Spearman's correlation of two score tables per ``key``: Pearson's of average ranks."""
-    a = average_ranks(left, value, "a").select("key", *keys, "a")
-    b = average_ranks(right, value, "b").select("key", *keys, "b")
-    return a.join(b, ["key", *keys]).groupBy("key").agg(F.round(F.corr("a", "b"), 6).alias("spearman"), F.count("*").alias("n"))
+def rank_correlation(scores: DataFrame, one: str, other: str) -> DataFrame:
+    """Spearman's correlation of two score columns per ``key``: Pearson's of average ranks. Both scores stand in one row, so the tables never join each other."""
+    both = average_ranks(average_ranks(scores, one, "_a"), other, "_b")
+    return both.groupBy("key").agg(F.round(F.corr("_a", "_b"), 6).alias("spearman"), F.count("*").alias("n"))
 
 
 def f1_micro(predicted: Column, actual: Column) -> Column:

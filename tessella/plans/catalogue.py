@@ -469,6 +469,33 @@ def q_cq2_rollup(spark, d):
     return questions.summary(_acts(spark, d)).withColumn("whole_document", F.col("whole_document").cast("int")).withColumn("k", F.coalesce("k", F.lit(-1)))
 
 
+@query(
+    f"""{BASE}, {_LABELS}, x AS (SELECT doc_id, k, category, 'activation' AS source, CAST(share AS DOUBLE) AS score FROM acts UNION ALL SELECT DISTINCT doc_id, k, category, 'element', CAST(NULL AS DOUBLE) FROM usable WHERE category IS NOT NULL),
+    r AS (SELECT DISTINCT doc_id, k, category, label, label_lang, source, score FROM x LEFT JOIN labels USING (category)), f AS (SELECT DISTINCT doc_id, k FROM r)
+    SELECT doc_id, 0 AS part, -1 AS k, '[Documento] ' || doc_id AS line FROM (SELECT DISTINCT doc_id FROM f JOIN fragments USING (doc_id, k)) UNION ALL SELECT doc_id, 0, -1, '' FROM (SELECT DISTINCT doc_id FROM f JOIN fragments USING (doc_id, k))
+    UNION ALL SELECT doc_id, 1, k, '[Fragmento] ' || coalesce(nullif(text, ''), frag_uri) FROM f JOIN fragments USING (doc_id, k) UNION ALL SELECT doc_id, 1, k, '' FROM f JOIN fragments USING (doc_id, k)
+    UNION ALL SELECT doc_id, 1, k, '  - ' || coalesce(label, category) || CASE WHEN source = 'activation' AND coalesce(score, 0) <> 0 THEN printf(' (via activation, score=%.4f)', score) ELSE ' (via ' || source || ')' END FROM r"""
+)
+def q_cq1_lines(spark, d):
+    return questions.evoked_lines(_acts(spark, d), _usable(spark, d), _fragments(spark, d)).drop("place")
+
+
+@query(
+    f"""{BASE}, {_LABELS}, names AS (SELECT category, max(label) FILTER (WHERE label_lang = 'pt') AS name FROM labels GROUP BY category),
+    e AS (SELECT DISTINCT doc_id, k, category, name, role_name AS t, text AS el FROM usable JOIN names USING (category)), a AS (SELECT doc_id, k, category, name, CAST(share AS DOUBLE) AS score, atype, act_uri FROM acts JOIN names USING (category)),
+    r AS (SELECT DISTINCT doc_id, k, name FROM (SELECT doc_id, k, name FROM e UNION ALL SELECT doc_id, k, name FROM a))
+    SELECT doc_id, 0 AS part, -1 AS k, '[Documento] ' || doc_id AS line FROM (SELECT DISTINCT doc_id FROM r) UNION ALL SELECT doc_id, 2, -1, '[Documento — Fragmentos] ' || doc_id FROM (SELECT DISTINCT doc_id FROM r)
+    UNION ALL SELECT doc_id, 1, -1, '  > Inteligência (doc): ' || name FROM (SELECT DISTINCT doc_id, name FROM r) UNION ALL SELECT doc_id, 1, -1, '    - Elementos (agregado no doc):' FROM (SELECT DISTINCT doc_id, name FROM e)
+    UNION ALL SELECT doc_id, 1, -1, '        • ' || t || ': ' || el FROM (SELECT DISTINCT doc_id, name, t, el FROM e)
+    UNION ALL SELECT doc_id, 1, -1, printf('    - Ativações (doc): n=%d, primárias=%d, secundárias=%d, max=%.4f', count(*), count(*) FILTER (WHERE atype = 'Primary'), count(*) FILTER (WHERE atype = 'Secondary'), max(score)) FROM a GROUP BY doc_id, name
+    UNION ALL SELECT doc_id, 3, k, '[Fragmento] ' || coalesce(nullif(text, ''), frag_uri) FROM (SELECT DISTINCT doc_id, k FROM r) JOIN fragments USING (doc_id, k) UNION ALL SELECT doc_id, 3, k, '  > Inteligência: ' || name FROM r
+    UNION ALL SELECT doc_id, 3, k, '    - Elementos:' FROM (SELECT DISTINCT doc_id, k, name FROM e) UNION ALL SELECT doc_id, 3, k, '        • ' || t || ': ' || el FROM e
+    UNION ALL SELECT doc_id, 3, k, '    - Ativações:' FROM (SELECT DISTINCT doc_id, k, name FROM a) UNION ALL SELECT doc_id, 3, k, '        • ' || printf('score=%.4f', score) || coalesce(', tipo=' || atype, '') FROM a"""
+)
+def q_cq2_lines(spark, d):
+    return questions.elements_lines(_acts(spark, d), _usable(spark, d), _fragments(spark, d)).drop("place")
+
+
 _CQ3 = """ties AS (SELECT *, max(share) OVER (PARTITION BY doc_id, k) AS top FROM acts), kept AS (SELECT *, max(atype = 'Primary') OVER (PARTITION BY doc_id, k) AS has_primary FROM ties WHERE abs(CAST(share - top AS DOUBLE)) <= 1e-9),
 one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k, category ORDER BY (atype = 'Primary') DESC, act_uri) AS rn FROM kept WHERE NOT has_primary OR atype = 'Primary')"""
 
@@ -585,6 +612,18 @@ def q_shacl_report(spark, d):
     return shapes.report(f.select("doc_id").distinct(), shapes.fragment_violations(f, _usable(spark, d), _acts(spark, d)))
 
 
+@query("SELECT DISTINCT doc_id, CASE WHEN starts_with(doc_id, 'urn:doc:') THEN substr(doc_id, 9) ELSE regexp_extract(doc_id, '[^/]*$') END AS slug FROM s1_output WHERE doc_id IS NOT NULL")
+def q_document_slugs(spark, d):
+    rows = table(spark, d, "s1_output").where("doc_id IS NOT NULL").select("doc_id").distinct()
+    return rows.select("doc_id", T.document_slug(F.col("doc_id")).alias("slug"))
+
+
+@query("SELECT key, round(vector[1] / list_sum(vector), 9) AS first, round(list_max(vector) / list_sum(vector), 9) AS most FROM profiles")
+def q_valid_profiles(spark, d):
+    rows = ranking.valid_profiles(table(spark, d, "profiles"))
+    return rows.select("key", F.round(F.get("vector", F.lit(0)), 9).alias("first"), F.round(F.array_max("vector"), 9).alias("most"))
+
+
 # --- ranking ---------------------------------------------------------------------------------------------------------------
 
 
@@ -625,7 +664,7 @@ def q_profile_sanity(spark, d):
 )
 def q_rank_stability(spark, d):
     vectors, profiles = settled(ranking.latest_vectors(table(spark, d, "loaded_doc"))), table(spark, d, "profiles")
-    return ranking.rank_correlation(ranking.scored(vectors, profiles), ranking.scored(vectors, profiles, dims.SHORT[:4]), ["doc_id"])
+    return ranking.rank_correlation(settled(ranking.scored_by(vectors, profiles, whole=None, part=dims.SHORT[:4])), "whole", "part")
 
 
 @query(f"{BASE}, {_STORED}, {s_acts('stored').replace('acts AS', 'other AS')}, j AS (SELECT a.category AS p, o.category AS q FROM acts a JOIN other o USING (doc_id, k) WHERE a.is_primary_link AND o.is_primary_link) SELECT round(count(*) FILTER (WHERE p = q) / count(*), 6) AS f1_micro, count(*) AS n FROM j")
@@ -705,17 +744,19 @@ def q_triples_fragments(spark, d):
     return triples.of_fragments(_fragments(spark, d)).select("doc_id", "s", "p", F.md5("o").alias("o_md5"))
 
 
+_LABEL = s_strip("replace(coalesce(text, ''), chr(10), ' ')")
 _SLUG = "substr(regexp_replace(regexp_replace(lower(" + s_strip("u.text") + f"), '{SP}+', '-', 'g'), '[^a-z0-9-]', '', 'g'), 1, 32)"
 
 
 @query(
     f"""{BASE}, e AS (SELECT u.doc_id, f.frag_uri, u.role_name, u.category, u.text, u.doc_id || '#evid-' || printf('%03d', u.k) || '-' || printf('%02d', u.i) || '-' || {_SLUG} AS uri FROM usable u JOIN fragments f USING (doc_id, k)),
-    t AS (SELECT DISTINCT doc_id, uri AS s, '{dims.RDF_TYPE}' AS p, '{_NS}' || role_name AS o FROM e UNION SELECT doc_id, frag_uri, '{_NS}usesElement', uri FROM e UNION SELECT doc_id, uri, '{_NS}evokesIntelligence', '{_NS}' || category FROM e WHERE category IS NOT NULL)
+    l AS (SELECT doc_id, uri, {_LABEL} AS label FROM e),
+    t AS (SELECT DISTINCT doc_id, uri AS s, '{dims.RDF_TYPE}' AS p, '{_NS}' || role_name AS o FROM e UNION SELECT doc_id, uri, '{dims.RDFS}label', CASE WHEN length(label) > 160 THEN substr(label, 1, 157) || '…' ELSE label END FROM l UNION SELECT doc_id, frag_uri, '{_NS}usesElement', uri FROM e UNION SELECT doc_id, uri, '{_NS}evokesIntelligence', '{_NS}' || category FROM e WHERE category IS NOT NULL)
     SELECT doc_id, s, p, o FROM t"""
 )
 def q_triples_evidences(spark, d):
     rows = triples.of_evidences(_usable(spark, d), _fragments(spark, d))
-    return rows.where(F.col("p") != dims.RDFS + "label").select("doc_id", "s", "p", "o").distinct()
+    return rows.select("doc_id", "s", "p", "o").distinct()
 
 
 def _s_tri(p: str, s: str, o: str, where: str = "true") -> str:

@@ -109,3 +109,8 @@ def test_vectors(spark):
     assert sum(one) == pytest.approx(1.0)
     with pytest.raises(ValueError):
         N.normalised(cols, "other")
+
+
+def test_document_slug(spark):
+    df = spark.createDataFrame([("urn:doc:a/b",), ("http://x.example/c/d",), ("e",), (None,)], "u string")
+    assert [r[0] for r in df.select(T.document_slug(F.col("u"))).collect()] == ["a/b", "d", "e", None]

@@ -167,8 +167,8 @@ def test_ranking(spark):
         ranking.chosen_profiles(prof, ["P0"])
     assert ranking.chosen_profiles(prof, ["all"]).count() == 11 and ranking.chosen_profiles(prof, [" ", "P8-NAT"]).count() == 1
     scores = spark.createDataFrame([("k", str(i), float(i // 2)) for i in range(10)], "key string, doc_id string, score double")
-    assert rows(ranking.rank_correlation(scores, scores, ["doc_id"])) == [("k", 1.0, 10)]
-    assert rows(ranking.rank_correlation(scores, scores.withColumn("score", -F.col("score")), ["doc_id"]), "spearman") == [(-1.0,)]
+    assert rows(ranking.rank_correlation(scores.withColumn("again", F.col("score")), "score", "again")) == [("k", 1.0, 10)]
+    assert rows(ranking.rank_correlation(scores.withColumn("down", -F.col("score")), "score", "down"), "spearman") == [(-1.0,)]
     assert rows(ranking.sanity(df)) == [(4, 0, 1)]
 
 
@@ -267,3 +267,28 @@ def test_known_documents(spark, doc):
             "      • Naturalist: 0.4873", "      • Spatial: 0.3283", "      • Bodily-Kinesthetic: 0.1843", "", "", "[Documento — Fragmentos] urn:doc:107", "",
             "[Fragmento] texto 0", "  > TOP: Espacial-visual (score=0.5809, tipo=Primary)", "", "[Fragmento] texto 1", "  > TOP: Naturalista (score=0.5760, tipo=Primary)", "",
         ]
+
+
+def test_valid_profiles(spark):
+    good = spark.createDataFrame([("a", [1.0] * 8), ("b", [0.0] * 7 + [4.0])], "key string, vector array<double>")
+    assert [r["vector"] for r in ranking.valid_profiles(good).orderBy("key").collect()] == [[0.125] * 8, [0.0] * 7 + [1.0]]
+    for bad in ([1.0] * 7, [-1.0] + [1.0] * 7, [0.0] * 8, None, [float("nan")] + [1.0] * 7):
+        with pytest.raises(Exception, match="no valid profile: x"):
+            ranking.valid_profiles(spark.createDataFrame([("x", bad)], "key string, vector array<double>")).collect()
+
+
+def test_question_lines(spark):
+    """The reports of questions 1 and 2 in their order, of one fragment with an element and two activations, one of them without a score."""
+    acts = spark.createDataFrame([("d", 1, "d#a1", "MusicalIntelligence", 0.75, "Primary"), ("d", 1, "d#a2", "LinguisticIntelligence", 0.0, "Secondary")], "doc_id string, k int, act_uri string, category string, share double, atype string")
+    elements = spark.createDataFrame([("d", 1, "MusicalIntelligence", "Keyword", "som")], "doc_id string, k int, category string, role_name string, text string")
+    frags = spark.createDataFrame([("d", 1, "d#frag-001", "Um texto"), ("d", 2, "d#frag-002", "Nada")], "doc_id string, k int, frag_uri string, text string")
+    order = lambda df: [r["line"] for r in df.orderBy("part", "k", "place").collect()]
+    names = {r["category"]: r["label"] for r in questions.labels(spark).where("label_lang = 'pt'").collect()}
+    musical, linguistic = names["MusicalIntelligence"], names["LinguisticIntelligence"]
+    assert order(questions.evoked_lines(acts, elements, frags, "pt")) == [
+        "[Documento] d", "", "[Fragmento] Um texto", *sorted([f"  - {linguistic} (via activation)", f"  - {musical} (via activation, score=0.7500)"]), f"  - {musical} (via element)", "",
+    ]
+    got = order(questions.elements_lines(acts, elements, frags))
+    assert got[0] == "[Documento] d" and got.index(f"  > Inteligência (doc): {musical}") > got.index(f"  > Inteligência (doc): {linguistic}")
+    assert "    - Ativações (doc): n=1, primárias=1, secundárias=0, max=0.7500" in got and got[got.index("    - Elementos:") + 1] == "        • Keyword: som"
+    assert got[-1] == "        • score=0.7500, tipo=Primary" and questions.evoked_lines(acts.limit(0), elements.limit(0), frags).count() == 0
