@@ -257,6 +257,9 @@ class Builder:
             lambda: [f"�{self.word(a)}{mark}�, �{self.word(a)}{mark}�", self.word(a)],
             lambda: [self.word(a) + mark + ",", self.word(a)],
         ]
+        if not cased:  # in scripts without case nothing tells these from a sentence's end, as which they are far more frequent
+            for one in (2, 10):
+                kinds[one] = kinds[0]
         return rng.choice(kinds)()
 
     def close(self, a: str) -> str:
