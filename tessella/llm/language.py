@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import encoding, sentences
@@ -218,11 +218,23 @@ def trained(texts: list[str], labels: list[str]) -> Classifier:
     return model
 
 
-def labelled_sample(df: DataFrame, text_col: str, lang_col: str, rows: int) -> pd.DataFrame:
-    """About ``rows`` labelled rows, drawn by a hash of the text, the same in every run."""
+def labelled_sample(df: DataFrame, text_col: str, lang_col: str, rows: int, least: int = 100) -> pd.DataFrame:
+    """About ``rows`` labelled rows, and at least ``least`` of each language that has so many, drawn per language by a hash of the text, the same in every run.
+
+    Copies of a text are drawn together and count once, so a text that fills a third of the table doesn't crowd out others. Only a count per language, of which
+    there are as many as ISO 639-1 has codes, decides the shares.
+    """
     good = df.select(F.col(text_col).alias("text"), named_language_sql(F.col(lang_col)).alias("lang")).where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 15))
-    share = min(1.0, rows / max(1, good.count()))
-    return good.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("text", "lang").limit(2 * rows).toPandas()
+    counts = {r["lang"]: r["n"] for r in good.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return pd.DataFrame({"text": [], "lang": []})
+    whole = sum(counts.values())
+    shares = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, max(rows / whole, least / n)) * (1 << 20)))])
+    order = F.xxhash64("text")
+    drawn = good.where(F.pmod(order, F.lit(1 << 20)) < shares[F.col("lang")]).distinct()
+    per = Window.partitionBy("lang").orderBy(order, "text")  # of a draw that is bounded but for copies, which are gone
+    most = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 2 * max(int(rows * n / whole), least))])
+    return drawn.withColumn("r", F.row_number().over(per)).where(F.col("r") <= most[F.col("lang")]).select("text", "lang").orderBy("text", "lang").toPandas()
 
 
 def fit_on(df: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = 6000) -> Classifier | None:
