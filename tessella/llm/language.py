@@ -2,7 +2,7 @@
 
 The classifier averages embeddings of hashed character n-grams and words and puts a linear softmax
 on the mean; both layers are trained by stochastic gradient descent in numpy on a bounded sample of
-labelled rows (``train_rows``), twice: the second time without units whose label the first model
+labelled rows (``train_rows``), twice: first on each half, then on all units but those whose label the model of the other half
 firmly denies, as labels may be wrong. On a held-out part a temperature is fitted and a
 confidence below which a unit is rejected; a rejected unit takes its neighbour's language.
 """
@@ -34,6 +34,8 @@ KNOWN = frozenset(CODES.values())
 BITS = 16
 BUCKETS = 1 << BITS
 WIDTH = 24
+#: Steps of gradient descent at least.
+LEAST_STEPS = 100
 LETTER = re.compile(r"[^\W\d_]")
 THREE = re.compile(r"(?:[^\W\d_][\W\d_]*){3}")
 SIX = re.compile(r"(?:[^\W\d_][\W\d_]*){6}")
@@ -152,6 +154,7 @@ def fitted(texts: list[str], labels: list[str], epochs: int = 4, seed: int = 3,
     weight = rng.normal(0, 0.3, (WIDTH, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), dtype=np.float32)
     full = np.flatnonzero(np.diff(at))
+    epochs = max(epochs, -(-LEAST_STEPS // (len(full) // 32 + 1)))  # few units are gone through more often
     steps, step = max(1, epochs * (len(full) // 32 + 1)), 0
     for _ in range(epochs):
         rng.shuffle(full)
@@ -193,10 +196,19 @@ def scripts_seen(texts: list[str], labels: list[str], languages: list[str], leas
 def trained(texts: list[str], labels: list[str]) -> Classifier:
     """The classifier after cleaning and calibration on a held-out tenth."""
     rng = np.random.default_rng(1)
-    first = fitted(texts, labels, epochs=3)
-    p = first.scores(texts)
-    given = np.array([first.languages.index(x) for x in labels])
-    keep = ~((p.argmax(axis=1) != given) & (p[np.arange(len(given)), given] < 0.2))
+    keep = np.ones(len(texts), dtype=bool)
+    half = rng.random(len(texts)) < 0.5
+    for mine in (half, ~half):  # a label is judged by a model that hasn't seen it
+        rest, judged = np.flatnonzero(~mine), np.flatnonzero(mine)
+        if not len(judged) or len({labels[i] for i in rest}) < 2:
+            continue
+        first = fitted([texts[i] for i in rest], [labels[i] for i in rest], epochs=3)
+        p = first.scores([texts[i] for i in judged])
+        place = {x: n for n, x in enumerate(first.languages)}
+        for i, row in zip(judged, p, strict=True):
+            given = place.get(labels[i])
+            if given is not None and row.argmax() != given and row[given] < 0.2:
+                keep[i] = False
     held = rng.random(len(texts)) < 0.1
     train = np.flatnonzero(keep & ~held)
     model = fitted([texts[i] for i in train], [labels[i] for i in train])
