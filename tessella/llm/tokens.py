@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -18,9 +19,13 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """The tokenizer, loaded once per Python worker."""
+    """The tokenizer, loaded once per Python worker; where the path isn't there, from the file that the driver sent along."""
     import tiktoken
 
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -32,6 +37,7 @@ def token_count(text: str | None, path: str = VOCABULARY) -> int:
 
 def with_tokens(df: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` without its text, with its size in column ``tokens`` (in place of one of that name); null and empty texts have none."""
+    df.sparkSession.sparkContext.addFile(vocabulary)  # workers need not have it
     keep = [c for c in df.columns if c not in (text_col, "tokens")]
     rows = df.select(*keep, F.col(text_col).alias("_text"))
 
