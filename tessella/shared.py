@@ -15,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where the session has none
-    (tests on one machine) a folder of our own is set."""
+    """The shared folder of ``spark.checkpoint.dir``; only where a session on one machine has none (tests) a folder of
+    our own is set. On a cluster without one it is an error, as a machine's own folder would not be seen by the others."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         if not spark.sparkContext.getCheckpointDir():
@@ -24,6 +24,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return folder
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         known = os.path.join(tempfile.gettempdir(), f"tessella-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(known)
     return known
