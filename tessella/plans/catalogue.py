@@ -505,12 +505,6 @@ def q_cq3(spark, d):
     return questions.standouts(_acts(spark, d))
 
 
-@query()
-def q_cq3_lines(spark, d):
-    acts, frags = _acts(spark, d), _fragments(spark, d)
-    return questions.report_lines(acts, profile.document_vectors(acts, frags), frags)
-
-
 @query(f"{BASE}, {_CQ3} SELECT count(*) AS rows, count(DISTINCT doc_id) AS documents, count(DISTINCT (doc_id, k)) AS fragments FROM one WHERE rn = 1")
 def q_cq3_metrics(spark, d):
     return questions.metrics(questions.standouts(_acts(spark, d)))
@@ -527,6 +521,27 @@ def q_elements_by_category(spark, d):
 _PLACES = "CASE category " + " ".join(f"WHEN '{s}' THEN {cq}" for s, _, _, _, cq, _ in dims.CATEGORIES) + " END"
 
 
+_NAMED = f"""{_LABELS}, en AS (SELECT category, label AS name FROM labels WHERE label_lang = 'en'), pt AS (SELECT category, label AS name FROM labels WHERE label_lang = 'pt')"""
+_VEC_LINES = " UNION ALL ".join(
+    f"SELECT doc_id, 0 AS part, {place} AS k, 0 AS n, {line} AS line FROM dv"
+    for place, line in ((0, "'[Documento] ' || doc_id"), (1, "'  - miVector: ' || mi_vector"), (3, "'  - Ranking (top 3):'"), (5, "''"), (6, "''"), (7, "'[Documento — Fragmentos] ' || doc_id"), (8, "''"))
+)
+
+
+@query(
+    f"""{BASE}, {DOC_VECTORS}, {_CQ3}, {_NAMED}, l AS (UNPIVOT (SELECT doc_id, {_V} FROM dv) ON {", ".join(dims.SHORT)} INTO NAME category VALUE value),
+    top AS (SELECT doc_id, name, value, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, {_PLACES}) AS place FROM l) AS x JOIN en ON en.category = x.category || 'Intelligence' WHERE place <= 3),
+    found AS (SELECT doc_id, k, name, CAST(share AS DOUBLE) AS score, atype, count(*) OVER (PARTITION BY doc_id, k) > 1 AS tied, row_number() OVER (PARTITION BY doc_id, k ORDER BY lower(name)) AS n FROM one JOIN pt USING (category) WHERE rn = 1),
+    heads AS (SELECT doc_id, k, tied, coalesce(nullif(f.text, ''), f.frag_uri) AS label FROM (SELECT DISTINCT doc_id, k, tied FROM found) LEFT JOIN fragments f USING (doc_id, k))
+    {_VEC_LINES} UNION ALL SELECT doc_id, 0, 2, 0, printf('  - TOP (documento): %s (score=%.4f)', name, value) FROM top WHERE place = 1 UNION ALL SELECT doc_id, 0, 4, place, printf('      • %s: %.4f', name, value) FROM top
+    UNION ALL SELECT doc_id, 1, k, 0, '[Fragmento] ' || label FROM heads UNION ALL SELECT doc_id, 1, k, 1, '  > TOP (empate):' FROM heads WHERE tied UNION ALL SELECT doc_id, 1, k, 1000000000, '' FROM heads
+    UNION ALL SELECT doc_id, 1, k, CAST(10 + n AS INT), CASE WHEN tied THEN '    - ' ELSE '  > TOP: ' END || name || printf(' (score=%.4f', score) || coalesce(', tipo=' || nullif(atype, ''), '') || ')' FROM found"""
+)
+def q_cq3_lines(spark, d):
+    acts, frags = _acts(spark, d), _fragments(spark, d)
+    return questions.report_lines(acts, profile.document_vectors(acts, frags), frags)
+
+
 @query(
     f"""{BASE}, {DOC_VECTORS}, l AS (UNPIVOT (SELECT doc_id, {_V} FROM dv) ON {", ".join(dims.SHORT)} INTO NAME category VALUE value)
     SELECT doc_id, CAST(place AS INT) AS place, category || 'Intelligence' AS category, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, {_PLACES}) AS place FROM l) WHERE place <= 3"""
@@ -783,7 +798,22 @@ def q_triples_activations(spark, d):
     return triples.of_activations(_acts(spark, d), _fragments(spark, d)).select("doc_id", "s", "p", "o")
 
 
-@query()
+_BASE_OF = "CASE WHEN contains(doc_id, '#') THEN split_part(doc_id, '#', 1) || '#' ELSE regexp_replace(doc_id, '/+$', '') || '#' END"
+
+
+def _s_vec(p: str, s: str, o: str, kind: str = "literal", datatype: str | None = None) -> str:
+    data = f"'{dims.XSD}{datatype}'" if datatype else "CAST(NULL AS VARCHAR)"
+    return f"SELECT doc_id, {s} AS s, '{p}' AS p, CAST({o} AS VARCHAR) AS o, '{kind}' AS o_kind, {data} AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM v WHERE {o} IS NOT NULL"
+
+
+@query(
+    f"""{BASE}, {DOC_VECTORS}, {FRAG_VECTORS}, v AS (SELECT doc_id, {_BASE_OF} || 'vec-doc' AS uri, doc_id AS owner, {", ".join(dims.SHORT)}, mi_vector FROM dv
+    UNION ALL SELECT doc_id, {_BASE_OF} || 'vec-frag-' || printf('%03d', k), {_BASE_OF} || 'frag-' || printf('%03d', k), {", ".join(dims.SHORT)}, mi_vector FROM fv) """
+    + " UNION ".join(
+        [_s_vec(dims.RDF_TYPE, "uri", f"'{_NS}MIProfileVector'", "uri"), _s_vec(_NS + "hasProfileVector", "owner", "uri", "uri"), _s_vec(_NS + "miVector", "uri", "mi_vector")]
+        + [_s_vec(_NS + p, "uri", f"CAST({c} AS DECIMAL(10,4))", datatype="decimal") for p, c in zip(dims.SCORE_PROPERTIES, dims.SHORT, strict=True)]
+    )
+)
 def q_triples_vectors(spark, d):
     acts = _acts(spark, d)
     return triples.of_vectors(profile.profile_vectors(acts, _fragments(spark, d)))
