@@ -113,6 +113,39 @@ def names_of(indexes: Column) -> Column:
     return F.transform(indexes, lambda i: F.get(names, i))
 
 
+def triggers_from(table: DataFrame, at_most: int = 100_000) -> list[tuple[str, str, str]]:
+    """A trigger dictionary from a table (``intelligence``, ``lang``, ``term``), terms of several words included, for the parameter ``triggers``.
+
+    A dictionary becomes part of the plan, so one of more than ``at_most`` terms is refused; terms of unknown categories are an error, null and blank ones are left out.
+    """
+    rows = table.select(category_of(F.col("intelligence")).alias("category"), "intelligence", "lang", F.trim("term").alias("term")).where("term <> ''").distinct().limit(at_most + 1).collect()
+    if len(rows) > at_most:
+        raise ValueError(f"more than {at_most} trigger terms")
+    if unknown := sorted({str(r["intelligence"]) for r in rows if r["category"] is None}):
+        raise ValueError(f"unknown categories: {', '.join(unknown)}")
+    return sorted({(r["category"], r["lang"] or "", r["term"]) for r in rows})
+
+
+def labelled(items: DataFrame, triggers: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """One row per category of each item: its label is, in turn, what ``mi_idx`` lists and ``intelligence`` names, what its text triggers, what the last resort says; without any it is dropped.
+
+    ``items`` holds doc_id, k, role, text, lang, mi_idx (array of strings), intelligence, confidence and relevance; items without role or text are dropped, missing
+    numbers count as 0.75. The confidence is multiplied by that of the label's source. Items that agree in role, text (case aside) and label are one, with the highest numbers.
+    """
+    named = category_of(F.col("intelligence"))
+    listed = F.coalesce(names_of(valid_indexes(F.col("mi_idx"))), F.array().cast("array<string>"))
+    given = F.array_distinct(F.concat(listed, F.when(named.isNotNull(), F.array(named)).otherwise(F.array().cast("array<string>"))))
+    rows = items.where((F.trim(F.coalesce("role", F.lit(""))) != "") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    rows = rows.select("*", given.alias("_given"), triggered(F.col("text"), triggers).alias("_hit"), T.last_resort(F.col("text")).alias("_last"))
+    labels = F.when(F.size("_given") > 0, F.col("_given")).when(F.size("_hit") > 0, F.col("_hit")).when(F.col("_last").isNotNull(), F.array("_last"))
+    source = F.when(F.size("_given") > 0, "llm").when(F.size("_hit") > 0, "trigger").otherwise("forced")
+    base = lambda c: N.clip01(F.coalesce(F.col(c), F.lit(0.75)))
+    each = rows.select("doc_id", "k", F.trim("role").alias("role"), F.trim("text").alias("text"), F.coalesce("lang", F.lit("pt")).alias("lang"), F.explode(labels).alias("intelligence"), N.clip01(base("confidence") * N.source_confidence(source)).alias("confidence"), base("relevance").alias("relevance"))
+    return each.groupBy("doc_id", "k", "role", F.lower("text").alias("text_key"), "intelligence").agg(
+        F.max("confidence").alias("confidence"), F.max("relevance").alias("relevance"), F.min("text").alias("text"), F.min("lang").alias("lang")
+    )
+
+
 # --- keywords ----------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|[^\w\s]")

@@ -289,6 +289,22 @@ def q_forced_mi(spark, d):
     return _fragments(spark, d).select("doc_id", "k", T.last_resort(F.col("text")).alias("category"))
 
 
+_HIT_LIST = "list_filter([" + ", ".join(f"CASE WHEN {_s_trigger(t)} THEN '{n}' END" for n, t in _TRIG.items()) + "], lambda z: z IS NOT NULL)"
+
+
+@query(
+    f"""WITH {EVIDENCES}, x AS (SELECT *, {s_fold('text')} AS f FROM resolved WHERE trim(coalesce(role, '')) <> '' AND trim(coalesce(text, '')) <> ''),
+    y AS (SELECT doc_id, k, trim(role) AS role, lower(trim(text)) AS text_key, category, {_HIT_LIST} AS hit, {_CASCADE_SQL} AS forced, greatest(0.0, least(1.0, coalesce(confidence, 0.75))) AS c, greatest(0.0, least(1.0, coalesce(relevance, 0.75))) AS r FROM x),
+    z AS (SELECT doc_id, k, role, text_key, unnest(CASE WHEN category IS NOT NULL THEN [category] WHEN len(hit) > 0 THEN hit WHEN forced IS NOT NULL THEN [forced] ELSE [] END) AS intelligence,
+          c * CASE WHEN category IS NOT NULL THEN 0.9 WHEN len(hit) > 0 THEN 0.65 ELSE 0.5 END AS confidence, r AS relevance FROM y)
+    SELECT doc_id, k, role, text_key, intelligence, round(max(confidence), 6) AS confidence, round(max(relevance), 6) AS relevance FROM z GROUP BY ALL"""
+)
+def q_labelled_evidence(spark, d):
+    rows = table(spark, d, "evidences").where("doc_id IS NOT NULL AND k IS NOT NULL").withColumn("mi_idx", F.lit(None).cast("array<string>"))
+    found = evidence.labelled(rows)
+    return found.select("doc_id", "k", "role", "text_key", "intelligence", F.round("confidence", 6).alias("confidence"), F.round("relevance", 6).alias("relevance"))
+
+
 @query(
     f"""WITH {FRAGMENTS} SELECT doc_id, k, CASE WHEN lower(trim(lang)) IN ('pt', 'en', 'es') THEN lower(trim(lang)) ELSE 'pt' END AS lang FROM fragments"""
 )

@@ -292,3 +292,24 @@ def test_question_lines(spark):
     assert got[0] == "[Documento] d" and got.index(f"  > Inteligência (doc): {musical}") > got.index(f"  > Inteligência (doc): {linguistic}")
     assert "    - Ativações (doc): n=1, primárias=1, secundárias=0, max=0.7500" in got and got[got.index("    - Elementos:") + 1] == "        • Keyword: som"
     assert got[-1] == "        • score=0.7500, tipo=Primary" and questions.evoked_lines(acts.limit(0), elements.limit(0), frags).count() == 0
+
+
+def test_labels_in_turn(spark):
+    """Listed indexes and names come first, then triggers (of several words, too), then the last resort; what has none is dropped."""
+    own = spark.createDataFrame([("Musical", "pt", " canto coral "), ("MusicalIntelligence", "pt", "canto coral"), ("Espacial", "pt", None)], "intelligence string, lang string, term string")
+    triggers = evidence.triggers_from(own)
+    assert triggers == [("MusicalIntelligence", "pt", "canto coral")]
+    with pytest.raises(ValueError, match="unknown categories: x"):
+        evidence.triggers_from(spark.createDataFrame([("x", "pt", "y")], "intelligence string, lang string, term string"))
+    schema = "doc_id string, k int, role string, text string, lang string, mi_idx array<string>, intelligence string, confidence double, relevance double, category string"
+    items = [
+        ("d", 1, "Keyword", "um Canto Coral", None, None, None, 1.0, 2.0, "x"), ("d", 1, "Keyword", "UM canto coral", "es", None, None, 0.5, None, "x"),
+        ("d", 1, "Keyword", "canto coral", "pt", ["0", "9", "x"], "Musical", None, 0.1, "x"), ("d", 2, "Keyword", "a flora", "pt", None, "??", 1.0, 1.0, "x"),
+        ("d", 2, "Keyword", "nada", "pt", [], None, 1.0, 1.0, "x"), ("d", 2, " ", "flora", "pt", None, None, 1.0, 1.0, "x"), ("d", 2, "Keyword", None, "pt", None, "Musical", 1.0, 1.0, "x"),
+    ]
+    got = {(r["k"], r["text_key"], r["intelligence"]): (round(r["confidence"], 6), r["relevance"], r["lang"]) for r in evidence.labelled(spark.createDataFrame(items, schema), triggers).collect()}
+    assert got == {
+        (1, "um canto coral", "MusicalIntelligence"): (0.65, 1.0, "es"), (1, "canto coral", dims.BY_INDEX[0]): (0.675, 0.1, "pt"), (1, "canto coral", "MusicalIntelligence"): (0.675, 0.1, "pt"),
+        (2, "a flora", "NaturalistIntelligence"): (0.5, 1.0, "pt"),
+    }
+    assert evidence.labelled(spark.createDataFrame([], schema)).count() == 0
