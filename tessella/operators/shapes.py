@@ -87,6 +87,62 @@ def report(docs: DataFrame, violations: DataFrame) -> DataFrame:
     return joined.select("doc_id", (F.coalesce("violations", F.lit(0)) == 0).alias("conforms"), F.coalesce("results", F.lit(0)).alias("results"))
 
 
+SH = "http://www.w3.org/ns/shacl#"
+# The constraint components of the standard for the kinds of rules here.
+COMPONENTS = {
+    "Or": "OrConstraintComponent", "MinCount": "MinCountConstraintComponent", "MaxCount": "MaxCountConstraintComponent", "Sparql": "SPARQLConstraintComponent", "In": "InConstraintComponent",
+    "Range": "MaxInclusiveConstraintComponent", "Pattern": "PatternConstraintComponent",
+}
+
+
+def _component(c: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in COMPONENTS.items() for x in pair]), c), F.concat(c, F.lit("ConstraintComponent")))
+
+
+def report_lines(docs: DataFrame, violations: DataFrame) -> DataFrame:
+    """The validation report of each document as text, (doc_id, place, line) in the order of ``place``: whether it conforms, how many results, then six lines for each result. Equal results are one."""
+    found = violations.distinct()
+    summary = report(docs, found)
+    heads = summary.select("doc_id", F.inline(F.array(
+        F.struct(F.lit("0").alias("place"), F.lit("Validation Report").alias("line")),
+        F.struct(F.lit("1").alias("place"), F.concat(F.lit("Conforms: "), F.when(F.col("conforms"), "True").otherwise("False")).alias("line")),
+        F.struct(F.lit("2").alias("place"), F.when(F.col("results") > 0, F.format_string("Results (%d):", "results")).alias("line")),
+    ))).where("line IS NOT NULL")
+    component = _component(F.col("component"))
+    at = F.concat_ws("\u0001", F.lit("3"), "focus_node", "source_shape", "component", "path", F.coalesce("value", F.lit("")))
+    texts = [
+        F.concat(F.lit("Constraint Violation in "), component, F.lit(f" ({SH}"), component, F.lit("):")),
+        F.concat(F.lit("\tSeverity: sh:"), "severity"),
+        F.concat(F.lit("\tSource Shape: onto:"), "source_shape", F.lit("Shape")),
+        F.concat(F.lit("\tFocus Node: <"), "focus_node", F.lit(">")),
+        F.concat(F.lit("\tValue Node: "), F.coalesce("value", F.concat(F.lit("<"), "focus_node", F.lit(">")))),
+        F.concat(F.lit("\tPath: "), "path"),
+    ]
+    each = found.select("doc_id", F.inline(F.array(*[F.struct(F.concat(at, F.lit(f"\u0001{n}")).alias("place"), t.alias("line")) for n, t in enumerate(texts)])))
+    return heads.unionByName(each)
+
+
+def report_triples(docs: DataFrame, violations: DataFrame) -> DataFrame:
+    """The validation report of each document as triples in the standard's vocabulary: a report node per document and a node for each distinct result, both blank, named by hashes."""
+    from .triples import NS, _inlined, _literal, _uri
+
+    found = violations.distinct()
+    node = F.concat(F.lit("_:report"), F.sha2("doc_id", 256).substr(1, 16))
+    whole = report(docs, found).withColumn("node", node)
+    heads = _inlined(whole, [_uri(F.col("node"), dims.RDF_TYPE, F.lit(SH + "ValidationReport")), _literal(F.col("node"), SH + "conforms", F.col("conforms").cast("string"), "boolean")])
+    name = F.concat(F.lit("_:result"), F.sha2(F.concat_ws("\u0001", "doc_id", "focus_node", "source_shape", "component", "path", F.coalesce("value", F.lit(""))), 256).substr(1, 24))
+    r = F.col("name")
+    each = _inlined(
+        found.withColumn("node", node).withColumn("name", name),
+        [
+            _uri(F.col("node"), SH + "result", r), _uri(r, dims.RDF_TYPE, F.lit(SH + "ValidationResult")), _uri(r, SH + "focusNode", F.col("focus_node")),
+            _uri(r, SH + "resultSeverity", F.concat(F.lit(SH), "severity")), _uri(r, SH + "sourceConstraintComponent", F.concat(F.lit(SH), _component(F.col("component")))),
+            _uri(r, SH + "sourceShape", F.concat(F.lit(NS), "source_shape", F.lit("Shape"))), _literal(r, SH + "value", F.col("value")),
+        ],
+    )
+    return heads.unionByName(each)
+
+
 # --- entailment -----------------------------------------------------------------------------------------
 
 

@@ -643,6 +643,21 @@ def q_shacl_report(spark, d):
     return shapes.report(f.select("doc_id").distinct(), shapes.fragment_violations(f, _usable(spark, d), _acts(spark, d)))
 
 
+_COMPONENT_OF = "CASE component " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in shapes.COMPONENTS.items()) + " END"
+
+
+@query(
+    f"""{BASE}, v AS (SELECT DISTINCT *, {_COMPONENT_OF} AS c FROM ({_FRAG_V})), docs AS (SELECT DISTINCT doc_id FROM fragments), per AS (SELECT doc_id, count(*) AS results, count(*) FILTER (WHERE severity = 'Violation') AS bad FROM v GROUP BY doc_id),
+    d AS (SELECT doc_id, coalesce(bad, 0) = 0 AS conforms, coalesce(results, 0) AS results FROM docs LEFT JOIN per USING (doc_id))
+    SELECT doc_id, 'Validation Report' AS line FROM d UNION ALL SELECT doc_id, CASE WHEN conforms THEN 'Conforms: True' ELSE 'Conforms: False' END FROM d UNION ALL SELECT doc_id, printf('Results (%d):', results) FROM d WHERE results > 0
+    UNION ALL SELECT doc_id, 'Constraint Violation in ' || c || ' ({shapes.SH}' || c || '):' FROM v UNION ALL SELECT doc_id, chr(9) || 'Severity: sh:' || severity FROM v UNION ALL SELECT doc_id, chr(9) || 'Source Shape: onto:' || source_shape || 'Shape' FROM v
+    UNION ALL SELECT doc_id, chr(9) || 'Focus Node: <' || focus_node || '>' FROM v UNION ALL SELECT doc_id, chr(9) || 'Value Node: ' || coalesce(value, '<' || focus_node || '>') FROM v UNION ALL SELECT doc_id, chr(9) || 'Path: ' || path FROM v"""
+)
+def q_shacl_lines(spark, d):
+    f = _fragments(spark, d)
+    return shapes.report_lines(f.select("doc_id").distinct(), shapes.fragment_violations(f, _usable(spark, d), _acts(spark, d))).drop("place")
+
+
 @query("SELECT DISTINCT doc_id, CASE WHEN starts_with(doc_id, 'urn:doc:') THEN substr(doc_id, 9) ELSE regexp_extract(doc_id, '[^/]*$') END AS slug FROM s1_output WHERE doc_id IS NOT NULL")
 def q_document_slugs(spark, d):
     rows = table(spark, d, "s1_output").where("doc_id IS NOT NULL").select("doc_id").distinct()

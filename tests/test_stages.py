@@ -313,3 +313,15 @@ def test_labels_in_turn(spark):
         (2, "a flora", "NaturalistIntelligence"): (0.5, 1.0, "pt"),
     }
     assert evidence.labelled(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_report_of_violations(spark):
+    docs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
+    bad = spark.createDataFrame([("a", "a#f", "Fragment", "Or", "usesElement", None, "Violation")] * 2, "doc_id string, focus_node string, source_shape string, component string, path string, value string, severity string")
+    lines = {d: [r["line"] for r in shapes.report_lines(docs, bad).where(F.col("doc_id") == d).orderBy("place").collect()] for d in "ab"}
+    assert lines["b"] == ["Validation Report", "Conforms: True"]
+    assert lines["a"][:4] == ["Validation Report", "Conforms: False", "Results (1):", f"Constraint Violation in OrConstraintComponent ({shapes.SH}OrConstraintComponent):"]
+    assert lines["a"][4:] == ["\tSeverity: sh:Violation", "\tSource Shape: onto:FragmentShape", "\tFocus Node: <a#f>", "\tValue Node: <a#f>", "\tPath: usesElement"]
+    got = shapes.report_triples(docs, bad)
+    assert got.where(F.col("p") == shapes.SH + "result").count() == 1 and got.where(F.col("p") == shapes.SH + "conforms").count() == 2
+    assert shapes.report_triples(docs.limit(0), bad.limit(0)).count() == 0
