@@ -56,7 +56,8 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_json(batch.report(log), f"{args.out}/batch_report")
     if out.activations is not None:
         acts = save(out.activations, "activations")
-        sinks.write_ntriples(triples.of_activations(acts, out.fragments), f"{args.out}/activation_triples")
+        graph = triples.of_activations(acts, out.fragments)
+        sinks.write_ntriples(shapes.entailed(graph) if config.inference == "rdfs" else graph, f"{args.out}/activation_triples")
         sinks.write_sheet(export.fragment_sheet(acts), f"{args.out}/fragment_sheet")
     if out.vectors is not None:
         vectors = save(out.vectors, "vectors")
@@ -65,9 +66,15 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_sheet(export.document_sheet(acts, docs), f"{args.out}/document_sheet")
         if out.standouts is not None:
             sinks.write_lines(questions.report_lines(acts, docs, out.fragments), f"{args.out}/report")
+            elements = spark.read.parquet(f"{args.out}/evidences")
+            sinks.write_lines(questions.evoked_lines(acts, elements, out.fragments), f"{args.out}/report_evoked", folders=False)
+            sinks.write_lines(questions.elements_lines(acts, elements, out.fragments), f"{args.out}/report_elements", folders=False)
     if out.violations is not None:
         found = save(out.violations, "violations")
-        save(shapes.report(out.fragments.select("doc_id").distinct(), found), "conformance")
+        docs = out.fragments.select("doc_id").distinct()
+        save(shapes.report(docs, found), "conformance")
+        sinks.write_lines(shapes.report_lines(docs, found), f"{args.out}/report_validation", folders=False)
+        sinks.write_ntriples(shapes.report_triples(docs, found), f"{args.out}/validation_triples")
     return batch.exit_code(log) if log is not None else 0
 
 

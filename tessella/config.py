@@ -10,7 +10,6 @@ STAGES = ("s1", "s2", "s3", "s4", "s5", "s6", "s7")
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    paragraph_min: int = 30
     split_long: bool = True
     split_max_chars: int = 900
     split_min_chars: int = 120

@@ -35,11 +35,16 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     ntriples(triples).write.mode("overwrite").text(path)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Report lines (doc_id, part, k, n, line) as text files in a folder per document, their names in the order of the
-    lines. Rows are ranged and sorted by document and place, so a long document is spread over several files."""
-    order = ["doc_id", "part", "k", "n"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "line").write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_lines(lines: DataFrame, path: str, folders: bool = True) -> None:
+    """Report lines as text files in a folder per document, their names in the order of the lines, or with ``folders`` off in files that each hold a range of
+    documents (for many documents, as a folder for each would burden the file system). Lines are ordered by doc_id and what there is of part, k, n and place; rows are
+    ranged and sorted by these, so a long document is spread over several files."""
+    order = [c for c in ("doc_id", "part", "k", "n", "place") if c in lines.columns]
+    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    if folders:
+        rows.select("doc_id", "line").write.mode("overwrite").partitionBy("doc_id").text(path)
+    else:
+        rows.select("line").write.mode("overwrite").text(path)
 
 
 def preview(rows: DataFrame, n: int = 10) -> DataFrame:

@@ -74,6 +74,8 @@ def test_workbook_and_lines(spark, tmp_path):
     sinks.write_lines(lines, str(tmp_path / "lines"))
     parts = sorted((tmp_path / "lines" / "doc_id=d").glob("*.txt"))
     assert "".join(p.read_text() for p in parts) == "a\nb\n"
+    sinks.write_lines(lines.drop("n").withColumn("place", F.lit("x")), str(tmp_path / "ranges"), folders=False)
+    assert "".join(p.read_text() for p in sorted((tmp_path / "ranges").glob("*.txt"))) == "a\nb\n"
 
 
 def test_stream(spark, tmp_path):
