@@ -328,9 +328,11 @@ def posterior(found: list[tuple[int, float]], prior: list[float]) -> list[tuple[
 #: Letters that a symbol may stand for: the corpus's letters beyond ASCII, the most frequent ones of alphabets (no syllables or Han, which no one-byte page holds).
 ALPHABET = 320
 #: What a learnt key must gain: in all over its source, and per symbol replaced.
-KEY_GAIN, SYMBOL_GAIN = 25.0, 3.0
+KEY_GAIN, SYMBOL_GAIN = 25.0, 2.0
 #: Symbols in rare trigrams that a source must show.
 LEAST_SEEN = 6
+#: Contexts that are scored with one copy of the key.
+TOGETHER = 500
 #: Share of a source's letters beyond ASCII that a key must change.
 MOST = 0.5
 #: Prior weight of a symbol standing for itself, of the letters by frequency, and of what known pages make of it.
@@ -384,17 +386,18 @@ class Key:
             p[self.index[symbol]] = 0.0
         return p / p.sum()
 
-    def expected(self, contexts: list[str], learnt: list[dict[str, dict[str, float]]]) -> Iterator[tuple[int, str, float, float]]:
+    def expected(self, contexts: list[str], known: dict[str, dict[str, float]]) -> Iterator[tuple[int, str, float, float]]:
         """For the symbol in the middle of each context: (context, letter, probability, gain over the symbol as it stands) of the likeliest letters. Symbols
-        beside it are read as the key learnt so far reads them. All letters of a few hundred contexts are scored at once."""
+        beside it are read as the key ``known`` so far reads them. All letters of a few hundred contexts are scored at once."""
         width, many = 2 * NEAR + 1, len(self.letters)
         alphabet = np.array([ord(c) for c in self.letters], dtype=np.uint64)
+        best = {c: max(of, key=of.get) for c, of in known.items() if of}
         for at in range(0, len(contexts), 256):
             part = contexts[at : at + 256]
             sides, priors = [], np.zeros((len(part), many + 1))
-            for i, (context, known) in enumerate(zip(part, learnt[at : at + 256], strict=True)):
+            for i, context in enumerate(part):
                 symbol = context[NEAR]
-                sides.append("".join(c if j == NEAR or c not in known else max(known[c], key=known[c].get) for j, c in enumerate(context)))
+                sides.append("".join(c if j == NEAR else best.get(c, c) for j, c in enumerate(context)))
                 prior = self.prior(symbol)
                 if symbol in known:
                     prior = 0.02 * prior
@@ -405,7 +408,12 @@ class Key:
             codes[:, :many, NEAR] = alphabet
             cells = charlm.trigram_cells(codes.ravel())
             starts = (np.arange(len(part) * (many + 1)) * width).reshape(len(part), many + 1)
-            scores = sum(self.table[cells[starts + i]] for i in range(width - 2)).astype(np.float64)
+            # trigrams with another letter beyond ASCII that the key doesn't change say nothing: damage in many texts reads well where all of it stands
+            before = charlm.code_points("".join(part)).reshape(len(part), width)
+            wide = (before > 127) & (before == codes[:, many, :])
+            wide[:, NEAR] = False
+            told = [~wide[:, i : i + 3].any(axis=1, keepdims=True) for i in range(width - 2)]
+            scores = sum(self.table[cells[starts + i]] * told[i] for i in range(width - 2)).astype(np.float64)
             logs = scores + np.log(priors + 1e-12)
             shares = np.exp(logs - logs.max(axis=1, keepdims=True))
             shares /= shares.sum(axis=1, keepdims=True)
@@ -415,15 +423,15 @@ class Key:
                     yield at + i, self.letters[x] if x < many else part[i][NEAR], float(shares[i, x]), float(scores[i, x] - scores[i, many])
 
 
-def contexts_of(text: str, table: np.ndarray) -> tuple[list[str], int]:
-    """What stands around each occurrence, ``NEAR`` characters on both sides, of the letters beyond ASCII (of alphabets, or symbols that a page gives) that are in a rare trigram
-    somewhere in the text (where else a letter reads well, it speaks for itself), and how many letters beyond ASCII there are."""
+def high_letters(text: str, table: np.ndarray) -> tuple[str, list[int], int]:
+    """A text with blanks at both ends, where its letters beyond ASCII stand (of alphabets, or symbols that a page gives), and how many of them are of a kind
+    that stands in a rare trigram somewhere in the text."""
     padded = f"  {text}  "
     codes = charlm.code_points(padded)
     rare = table[charlm.trigram_cells(codes)] < ODD
-    at = [i for i in np.flatnonzero(codes > 127) if NEAR <= i < len(padded) - NEAR and padded[i] < "\u2600" and padded[i] not in "“”‘’„«»…–—\u00a0"]
+    at = [int(i) for i in np.flatnonzero(codes > 127) if NEAR <= i < len(padded) - NEAR and padded[i] < "\u2600" and padded[i] not in "“”‘’„«»…–—\u00a0"]
     odd = {padded[i] for i in at if rare[i - 2 : i + 1].any()}
-    return [padded[i - NEAR : i + NEAR + 1] for i in at if padded[i] in odd], len(at)
+    return padded, at, sum(padded[i] in odd for i in at)
 
 
 def learnt_keys(rows: DataFrame, alphabet: dict[str, float], shares: list[float], sent, rounds: int = 4) -> DataFrame:
@@ -433,23 +441,35 @@ def learnt_keys(rows: DataFrame, alphabet: dict[str, float], shares: list[float]
     are summed per source, symbol and letter, so no group of a source's rows is ever gathered: a source's key holds a few letters for each symbol of a page.
     """
 
+    def weigh(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for s, t in zip(b["_source"], b["_text"], strict=True):
+                if not has_trace(t):  # else no letter for a letter
+                    _, at, odd = high_letters(t, sent.value)
+                    out[s][0] += odd
+                    out[s][1] += len(at)
+            yield pd.DataFrame([(s, *n) for s, n in out.items()], columns=["_source", "seen", "letters"]).astype({"seen": "int64", "letters": "int64"})
+
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: Counter[tuple[str, str]] = Counter()
             for s, t in zip(b["_source"], b["_text"], strict=True):
-                if has_trace(t):  # no letter for a letter
-                    continue
-                contexts, letters = contexts_of(t, sent.value)
-                out.update((s, c) for c in contexts)
-                out[s, ""] += letters
+                if not has_trace(t):
+                    padded, at, _ = high_letters(t, sent.value)
+                    out.update((s, padded[i - NEAR : i + NEAR + 1]) for i in at)
             yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["source", "context", "n"]).astype({"n": "int64"})
 
-    met = rows.mapInPandas(cut, "source string, context string, n long").groupBy("source", "context").agg(F.sum("n").alias("n"))
-    met = settled(met)
     # a wrong page changes all letters beyond ASCII, not a few; where most read well, or too few are odd to gain enough, there is no key to learn
-    seen, letters = F.sum(F.when(F.col("context") != "", F.col("n")).otherwise(0)).alias("seen"), F.sum(F.when(F.col("context") == "", F.col("n"))).alias("letters")
-    enough = met.groupBy("source").agg(seen, letters).where((F.col("seen") >= LEAST_SEEN) & (F.col("seen") >= MOST * F.col("letters")))
-    met = settled(met.where("context <> ''").join(enough.select("source", F.col("letters").alias("whole")), "source"))
+    weighed = rows.mapInPandas(weigh, "_source string, seen long, letters long").groupBy("_source").agg(F.sum("seen").alias("seen"), F.sum("letters").alias("whole"))
+    enough = settled(weighed.where((F.col("seen") >= LEAST_SEEN) & (F.col("seen") >= MOST * F.col("whole"))))
+    met = rows.join(enough.select("_source"), "_source", "left_semi").mapInPandas(cut, "source string, context string, n long").groupBy("source", "context").agg(F.sum("n").alias("n"))
+    met = settled(met)
+    parts = met.groupBy("source").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    enough = parts.join(enough.select(F.col("_source").alias("source"), "whole"), "source")
+    # contexts in lists of about ``TOGETHER``, so that a source's key travels once with each list
+    listed = met.join(enough, "source").withColumn("part", F.pmod(F.xxhash64("context"), F.col("parts")))
+    met = settled(listed.groupBy("source", "part").agg(F.first("whole").alias("whole"), F.collect_list(F.struct("context", "n")).alias("contexts")))
     kind = "map<string,map<string,double>>"
     keys = None
     for _ in range(rounds):
@@ -458,15 +478,20 @@ def learnt_keys(rows: DataFrame, alphabet: dict[str, float], shares: list[float]
         def expect(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             learner = Key(alphabet, shares, sent.value)
             for b in batches:
-                known = [{c: dict(of) for c, of in dict(k).items()} if k is not None else {} for k in b["key"]]
-                sources, contexts, counts = b["source"].tolist(), b["context"].tolist(), b["n"].tolist()
-                out = [(sources[i], contexts[i][NEAR], x, p * counts[i], g * p * counts[i]) for i, x, p, g in learner.expected(contexts, known)]
-                yield pd.DataFrame(out, columns=["source", "symbol", "letter", "n", "gain"])
+                for source, contexts, key in zip(b["source"], b["contexts"], b["key"], strict=True):
+                    known = {c: dict(of) for c, of in dict(key).items()} if key is not None else {}
+                    texts, counts = [c["context"] for c in contexts], [c["n"] for c in contexts]
+                    out: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0.0])
+                    for i, x, p, g in learner.expected(texts, known):
+                        sums = out[texts[i][NEAR], x]
+                        sums[0] += p * counts[i]
+                        sums[1] += g * p * counts[i]
+                    yield pd.DataFrame([(source, c, x, n, g) for (c, x), (n, g) in out.items()], columns=["source", "symbol", "letter", "n", "gain"])
 
         summed = at.mapInPandas(expect, "source string, symbol string, letter string, n double, gain double").groupBy("source", "symbol", "letter").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
         per = summed.groupBy("source", "symbol").agg(F.sum("n").alias("all"), F.collect_list(F.struct("letter", "n", "gain")).alias("of"))  # at most the alphabet's letters
         best = F.array_max(F.transform("of", lambda x: F.struct(x["n"], x["letter"], x["gain"])))
-        shares_of = F.map_from_entries(F.transform("of", lambda x: F.struct(x["letter"], x["n"] / F.col("all"))))
+        shares_of = F.map_from_entries(F.transform(F.filter("of", lambda x: x["n"] >= 0.02 * F.col("all")), lambda x: F.struct(x["letter"], x["n"] / F.col("all"))))
         shared = per.select("source", "symbol", "all", shares_of.alias("p"), best.alias("best"))
         sure = (F.col("best.letter") != F.col("symbol")) & (F.col("best.n") >= 0.7 * F.col("all")) & (F.col("best.gain") >= SYMBOL_GAIN * F.col("best.n"))
         keys = settled(
@@ -517,7 +542,7 @@ def damaged_texts(df: DataFrame, keys: list[str], text_col: str = "text", source
         for batch in batches:
             odd = [LOST not in t and is_suspect(t, sent.value) for t in batch["_text"]]
             found = [candidate_swaps(t, sent.value) if o else [] for o, t in zip(odd, batch["_text"], strict=True)]
-            mask = [bool(f) or LOST in t or (o and len(contexts_of(t, sent.value)[0]) > 1) for o, f, t in zip(odd, found, batch["_text"], strict=True)]
+            mask = [bool(f) or LOST in t or (o and high_letters(t, sent.value)[2] > 1) for o, f, t in zip(odd, found, batch["_text"], strict=True)]
             batch = batch.assign(_swaps=[[i for i, _ in f] for f in found], _gains=[[g for _, g in f] for f in found])
             yield batch[np.array(mask, dtype=bool)]
 
@@ -563,7 +588,7 @@ def damaged_texts(df: DataFrame, keys: list[str], text_col: str = "text", source
             yield out[out["swap"] != ""]
 
     out_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", swap string, fixed string"
-    found = learnt_keys(looked.where(~F.col("_text").contains(LOST)), alphabet_of(rows, "_text"), shares, sent)
+    found = learnt_keys(looked.where(~F.col("_text").contains(LOST)).select("_source", "_text"), alphabet_of(rows, "_text"), shares, sent)
     return looked.join(found, "_source", "left").mapInPandas(restore, out_schema)
 
 
