@@ -23,7 +23,7 @@ BLOCK = 8192
 #: Rows that one posting structure holds.
 SHARE = 262144
 #: Share of the rows of a posting structure that are compared exactly at least.
-PART = 0.025
+PART = 0.05
 
 
 def pivots_of(docs: DataFrame, count: int, sample: int, seed: int = 5) -> np.ndarray:
