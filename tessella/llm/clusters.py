@@ -27,7 +27,7 @@ DIMS = vectors.DIMS
 #: A cell's diagonal is the chord between vectors of similarity ``SIMILAR``.
 CELL = math.sqrt((2 - 2 * SIMILAR) / DIMS) * (1 - 1e-9)
 #: Exponent of the similarity beyond the threshold, and the share of a column's strongest flow below which a flow is pruned.
-POWER, PRUNED = 12, 0.01
+POWER, PRUNED = 24, 0.005
 #: Rows that one tree part is meant to hold, and those compared at once within it.
 LEAF, SMALL_LEAF = 4000, 500
 
