@@ -23,8 +23,8 @@ def _found(rows: DataFrame, focus: Column, shape: str, component: str, path: str
 def fragment_violations(fragments: DataFrame, elements: DataFrame, acts: DataFrame) -> DataFrame:
     """Fragments with neither element nor activation, with more than one primary activation, or of no document."""
     uri = F.col("frag_uri")
-    linked = elements.select("doc_id", "k").unionByName(acts.select("doc_id", "k")).distinct()
-    bare = fragments.join(linked, ["doc_id", "k"], "left_anti")
+    # one after the other: a union that is joined in place loses its partitioning when adaptive execution merges partitions of one side, and the join then ends in an error
+    bare = fragments.join(elements.select("doc_id", "k"), ["doc_id", "k"], "left_anti").join(acts.select("doc_id", "k"), ["doc_id", "k"], "left_anti")
     many = acts.where("is_primary_link").groupBy("doc_id", "k").agg(F.count("*").alias("n")).where("n > 1").join(fragments.select("doc_id", "k", "frag_uri"), ["doc_id", "k"])
     loose = fragments.where("doc_id IS NULL OR trim(doc_id) = ''")
     return (

@@ -42,3 +42,20 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_report_lines_of_unevenly_merged_partitions(spark):
+    """Adaptive execution must not merge partitions of one side of a union that a join reads in place."""
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        got = entry.queries()["q_shacl_lines"](spark, "/root/testdata/sf0.01").toPandas()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    con = duckdb.connect()
+    for name in ("s1_output", "evidences"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.01/{name}.parquet'")
+    assert plain(got) == plain(con.execute(catalogue.SQL["q_shacl_lines"]).df())
