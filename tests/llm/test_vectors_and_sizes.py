@@ -176,6 +176,26 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_neighbours_are_complete_whatever_is_ranked_first(spark, monkeypatch):
+    """Few candidates, small shares, dense regions and equal vectors: no list that holds a neighbour is left out."""
+    monkeypatch.setattr(neighbours, "SHARE", 40)
+    rng = np.random.default_rng(9)
+    u = np.concatenate([rng.dirichlet(np.ones(8), 1200), rng.dirichlet(np.ones(8) * 4000, 300), np.repeat(rng.dirichlet(np.ones(8), 1), 60, axis=0)])
+    ids = [f"d{i:05}" for i in rng.permutation(len(u))]
+    docs = vectors.directions(loaded(spark, list(zip(ids, u)))).cache()
+    asked = ids[::40]
+    got = neighbours.nearest(docs, docs.where(F.col("doc_id").isin(asked)), candidates=15, sample=400, pivots=40).collect()
+    x = {r["doc_id"]: np.array(r["u"]) for r in docs.collect()}
+    names = sorted(x)
+    m = np.stack([x[n] for n in names])
+    want = set()
+    for q in asked:
+        s = neighbours.cosines(m, np.broadcast_to(x[q], m.shape))
+        want |= {(q, names[j], r + 1) for r, j in enumerate([j for j in np.argsort(-s, kind="stable") if names[j] != q][:10])}
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in got} == want
+    assert neighbours.nearest(docs, docs.limit(0)).count() == 0
+
+
 def test_footrule(spark):
     """A gain is the largest distance less the footrule distance of the two prefixes, halved."""
     rng = np.random.default_rng(2)
