@@ -31,10 +31,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return known
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (replicated storage, not executor memory) and cut its lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` reliably (replicated storage, not executor memory) and cut its lineage.
+
+    Its shuffle files are deleted at once, as nothing reads them again. Spark deletes checkpoints that nothing refers to only when the driver collects its garbage, which a
+    large heap may never do within a query; so it is asked to, else the files of all rounds of an iteration pile up.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        out = df.select("*").checkpoint(eager=True)  # a plan of its own: it takes the setting when it is made, and ``df`` itself may be run again
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from tessella import shared
 from tessella.llm import clusters, mixing, neighbours, packing, tokens, vectors
 
 SCHEMA = "doc_id string, vector array<double>, note string"
@@ -154,6 +156,24 @@ def test_links_are_all_found(spark):
     assert {(r["src"], r["dst"]) for r in got} == want | {(c, c) for c in cells["cell"]}
 
 
+def test_settled_leaves_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before, set_to = files(), spark.conf.get(shared.CLEANUP, None)
+    df = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.sum("id").alias("n")).orderBy("n")
+    out = shared.settled(df)
+    for _ in range(20):
+        if not files() - before:
+            break
+        time.sleep(0.5)
+    assert not files() - before
+    assert spark.conf.get(shared.CLEANUP, None) == set_to
+    assert out.count() == 700 and rows(out) == rows(df)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     data = [(f"d{i:04}", v * rng.choice([1.0, 50.0])) for i, v in enumerate(rng.dirichlet(np.ones(8), 3000))] + [(f"e{i}", [1.0] * 8) for i in range(3)]
