@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ CELL = math.sqrt((2 - 2 * SIMILAR) / DIMS) * (1 - 1e-9)
 POWER, PRUNED = 24, 0.005
 #: Rows that one tree part is meant to hold, and those compared at once within it.
 LEAF, SMALL_LEAF = 4000, 500
+#: A round of more flows than ``MANY`` squares its columns in ``TURNS`` parts one after the other, so that not all of its shuffle files lie on disk together.
+MANY, TURNS = 250_000, 4
 
 
 def cell_of(u: Column, width: float = CELL) -> Column:
@@ -162,6 +165,11 @@ def stochastic(flows: DataFrame, least: float = PRUNED) -> DataFrame:
     return kept.select("src", "dst", (F.col("w") / F.sum("w").over(per)).alias("w"), F.count("*").over(per).alias("k"))
 
 
+def _squared(active: DataFrame, whole: DataFrame, inflation: float, least: float) -> DataFrame:
+    squared = active.join(whole, active["dst"] == whole["mid"]).groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
+    return stochastic(squared.withColumn("w", F.pow("w", F.lit(inflation))), least)
+
+
 def markov_clusters(links: DataFrame, inflation: float = 2.0, least: float = PRUNED, rounds: int = 12) -> DataFrame:
     """(cell, cluster, flow): the attractor of each column of the limit and the flow that reaches it.
 
@@ -178,11 +186,13 @@ def markov_clusters(links: DataFrame, inflation: float = 2.0, least: float = PRU
     state = inside.select("src", "dst", "w", "k")
     for turn in range(rounds):
         active = state.where("k > 1").select("src", "dst", "w")
-        if turn % 2 == 0 and active.isEmpty():
+        left = active.count()
+        if not left:
             break
         whole = state.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("w").alias("w2"))
-        squared = active.join(whole, active["dst"] == whole["mid"]).groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
-        now = stochastic(squared.withColumn("w", F.pow("w", F.lit(inflation))), least)
+        parts = TURNS if left > MANY else 1
+        done = [_squared(active.where(F.pmod(F.xxhash64("src"), F.lit(parts)) == part) if parts > 1 else active, whole, inflation, least) for part in range(parts)]
+        now = done[0] if parts == 1 else reduce(DataFrame.unionByName, [settled(d) for d in done])
         state = settled(now.unionByName(state.where("k = 1")))
     best = state.groupBy("src").agg(F.max(F.struct("w", (-F.col("dst")).alias("neg"))).alias("best"))
     ends = followed(best.select("src", (-F.col("best.neg")).alias("dst"), F.col("best.w").alias("w")))

@@ -156,6 +156,16 @@ def test_links_are_all_found(spark):
     assert {(r["src"], r["dst"]) for r in got} == want | {(c, c) for c in cells["cell"]}
 
 
+def test_columns_squared_in_turns(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    flows = [(int(a), int(b), float(w)) for a in range(60) for b, w in zip(rng.choice(60, 6, replace=False), rng.random(6) + 0.1)]
+    links = clusters.stochastic(spark.createDataFrame([f for f in flows if f[0] != f[1]] + [(a, a, 0.5) for a in range(60)], "src long, dst long, w double")).drop("k").cache()
+    at_once = rows(clusters.markov_clusters(links), "cell", "cluster")
+    monkeypatch.setattr(clusters, "MANY", 0)
+    monkeypatch.setattr(clusters, "TURNS", 3)
+    assert rows(clusters.markov_clusters(links), "cell", "cluster") == at_once and len(at_once) == 60
+
+
 def test_settled_leaves_no_shuffle_files(spark):
     blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
